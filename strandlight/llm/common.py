@@ -19,22 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the cluster's shared checkpoint folder and cut its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names.
 
-    The folder is spark.checkpoint.dir. Only a local session without one gets a
-    temporary folder; on a cluster a missing setting is an error, since a local
-    folder could not be read by the other machines.
+    Only a local session without one gets a temporary folder; on a cluster a missing
+    setting is an error, since a local folder could not be read by the other machines.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
+    there = sc.getCheckpointDir()
+    if not there:
         there = spark.conf.get("spark.checkpoint.dir", None)
         if not there:
             if not sc.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             there = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(there)
+        there = sc.getCheckpointDir()
+    return there
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, materialised in the checkpoint folder, with its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

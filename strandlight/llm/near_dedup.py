@@ -11,7 +11,6 @@ span several components go on with more pivots until all their pairs are decided
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,34 +19,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlight.llm.common import BROADCAST_ROWS, cut, table
+from strandlight.llm.common import broadcast_if_small, cut, row_key, table
 from strandlight.llm.components import components
 
 #: 30 bands of 5: a pair at similarity 0.8 shares no bucket with probability 7e-6, one at 0.9 with 2e-12.
 BANDS, ROWS = 30, 5
 #: Pivots of a bucket in the first round; each later round has GROWTH times as many.
-PIVOTS, GROWTH = 2, 4
-MEMO_WORDS = 400_000
+PIVOTS, GROWTH = 1, 16
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-_M1, _M2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+_M1, _M2, _FOLD = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(15)
 
 
-class _Memo(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        x = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return x
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the word shingles of a text with A-Z in lower case.
 
-
-def shingles(text: str | None, width: int, memo: dict[str, int]) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the word shingles of a text with A-Z in lower case."""
-    words = _WORD.findall((text or "").translate(_UPPER)) if text and not text.isascii() else _WORD.findall((text or "").lower())
+    Bytes are lowered in A-Z alone and split at \x20 and \x09-\x0D alone.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     width = min(width, len(h))
     out = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
@@ -56,27 +47,36 @@ def shingles(text: str | None, width: int, memo: dict[str, int]) -> np.ndarray:
     return np.unique(out)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A fixed permutation of the 32-bit integers, in place."""
-    t = x >> np.uint32(16)
-    x ^= t
-    x *= _M1
-    np.right_shift(x, np.uint32(13), out=t)
-    x ^= t
-    x *= _M2
-    np.right_shift(x, np.uint32(16), out=t)
-    x ^= t
-    return x
+class Signer:
+    """Signatures of one size, in buffers that stay in the processor's cache.
 
+    pi(x) multiplies by an odd number, folds the high bits down and multiplies again: a
+    permutation of the 32-bit integers. Coordinate k is the least pi(sigma(s) + k mod
+    2^32) of the shingles s; since the first step is linear, shifting by k adds k * M1.
+    """
 
-def signature(sh: np.ndarray, size: int) -> np.ndarray:
-    """Coordinate k is min over the shingles of pi(sigma(shingle) + k mod 2^32)."""
-    sigma = _mix((sh >> np.uint64(32)).astype(np.uint32) ^ sh.astype(np.uint32) * np.uint32(0x9E3779B1))
-    shift = np.arange(size, dtype=np.uint32)[:, None]
-    out = np.full(size, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(sigma), 1024):
-        np.minimum(out, _mix(sigma[None, at : at + 1024] + shift).min(axis=1), out=out)
-    return out
+    CHUNK = 192
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.shift = (np.arange(size, dtype=np.uint32) * _M1)[:, None]
+        self.x, self.t = np.empty((size, self.CHUNK), np.uint32), np.empty((size, self.CHUNK), np.uint32)
+        self.low = np.empty(size, np.uint32)
+
+    def __call__(self, sh: np.ndarray) -> np.ndarray:
+        sigma = sh * np.uint64(0x9E3779B97F4A7C15)
+        scaled = ((sigma ^ (sigma >> np.uint64(31))) >> np.uint64(16)).astype(np.uint32) * _M1
+        out = np.full(self.size, 0xFFFFFFFF, np.uint32)
+        for at in range(0, len(scaled), self.CHUNK):
+            part = scaled[at : at + self.CHUNK]
+            x, t = self.x[:, : len(part)], self.t[:, : len(part)]
+            np.add(part[None, :], self.shift, out=x)
+            np.right_shift(x, _FOLD, out=t)
+            np.bitwise_xor(x, t, out=x)
+            np.multiply(x, _M2, out=x)
+            np.minimum.reduce(x, axis=1, out=self.low)
+            np.minimum(out, self.low, out=out)
+        return out
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -90,14 +90,14 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sketcher(width: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo()
+        sign = Signer(bands * rows)
         for b in batches:
             n, classes, keys = [], [], []
             for text in b.column("text"):
-                sh = shingles(text.as_py(), width, memo)
+                sh = shingles(text.as_py(), width)
                 n.append(len(sh))
                 classes.append(hashlib.md5(sh.tobytes()).digest() if len(sh) else None)
-                keys.append(band_keys(signature(sh, bands * rows), bands, rows) if len(sh) else None)
+                keys.append(band_keys(sign(sh), bands, rows) if len(sh) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "class", "keys"])
 
     return run
@@ -105,9 +105,8 @@ def _sketcher(width: int, bands: int, rows: int) -> Callable[[Iterator[pa.Record
 
 def _setter(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo()
         for b in batches:
-            sets = [shingles(x.as_py(), width, memo) for x in b.column("text")]
+            sets = [shingles(x.as_py(), width) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["class", "set"])
 
     return run
@@ -128,37 +127,34 @@ def _verifier(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-class _Sets:
-    """Full shingle sets of the classes in some pairs, made again from one text of each class."""
+def _class_sets(docs: DataFrame, reps: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(class, set) of every class that shares a bucket, made again from one text of each."""
+    wanted = members.select("class").distinct()
+    ids = cut(reps.join(wanted, "class", "left_semi").select("k1", "k2"))
+    near = broadcast_if_small(ids)
+    return cut(docs.join(near, ["k1", "k2"], "left_semi").select("text").mapInArrow(_setter(width), "class binary, set binary"))
 
-    def __init__(self, docs: DataFrame, width: int) -> None:
-        self.docs, self.width = docs, width
 
-    def verify(self, pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-        """pairs (a, b) with linked, decided on full sets."""
-        wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
-        ids = cut(reps.join(wanted, "class", "left_semi").select(F.col("k1"), F.col("k2")))
-        n = ids.count()
-        near = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
-        texts = self.docs.join(near, ["k1", "k2"], "left_semi").select("text")
-        sets = cut(texts.mapInArrow(_setter(self.width), "class binary, set binary").dropDuplicates(["class"]))
-        with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
-        with_b = with_a.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-        return cut(with_b.mapInArrow(_verifier(percent), "a binary, b binary, linked boolean"))
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with linked, decided on full sets."""
+    with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
+    with_b = with_a.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
+    return cut(with_b.mapInArrow(_verifier(percent), "a binary, b binary, linked boolean").distinct())
 
 
 def _roots(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """members (bucket, class) with the root of the class in the links so far."""
+    """members with the root of the class in the links so far."""
     if links is None:
         return members.withColumn("root", F.col("class"))
     roots = components(links)
-    return members.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
+    return members.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "class", "n", F.coalesce("root", "class").alias("root"))
 
 
-def link_classes(members: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def link_classes(members: DataFrame, decide: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
     """Verified links that give the components of all links among classes that share a bucket.
 
-    members: (bucket, class). A round takes the first pivots of every bucket and decides
+    members: (bucket, class, n, root), n being the class's shingles; pairs whose sizes
+    rule a link out are not decided. A round takes the first pivots of every bucket and decides
     their pairs with the bucket's other members. A bucket leaves when its members are one
     component, or all of them have been pivots. Pairs already in one component, or
     decided before, are not decided again. The work of a round is in proportion to the
@@ -169,8 +165,9 @@ def link_classes(members: DataFrame, decide: Callable[[DataFrame], DataFrame]) -
     while True:
         by_bucket = Window.partitionBy("bucket").orderBy("class")
         top = alive.withColumn("rank", F.row_number().over(by_bucket)).filter(F.col("rank") <= done + pivots).filter(F.col("rank") > done)
-        first = top.select("bucket", F.col("class").alias("pivot"), F.col("root").alias("pivot_root"))
-        pairs = alive.join(first, "bucket").filter((F.col("class") > F.col("pivot")) & (F.col("root") != F.col("pivot_root"))).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
+        first = top.select("bucket", F.col("class").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("pivot_n"))
+        fits = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
+        pairs = alive.join(first, "bucket").filter((F.col("class") > F.col("pivot")) & (F.col("root") != F.col("pivot_root")) & fits).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
         if decided is not None:
             pairs = pairs.join(decided, ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -181,43 +178,44 @@ def link_classes(members: DataFrame, decide: Callable[[DataFrame], DataFrame]) -
             links = new if links is None else links.unionAll(new)
         done += pivots
         pivots *= GROWTH
-        rooted = _roots(alive.select("bucket", "class"), links)
-        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter((F.col("x") != F.col("y")) & (F.col("n") > done + 1)).select("bucket")
+        rooted = _roots(alive.drop("root"), links)
+        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).filter((F.col("x") != F.col("y")) & (F.col("size") > done + 1)).select("bucket")
         alive = cut(rooted.join(open_, "bucket", "left_semi"))
         if alive.isEmpty():
             return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each row of docs: k1, k2, doc_id, n_shingles, component_id, kept.
+    """One row for each row of docs: k1, k2, doc_id, n_shingles, component_id, kept, first.
 
-    component_id is the least doc_id of all documents that links reach. Defined cases: a
+    component_id is the least doc_id of all documents that links reach, and kept says that
+    it is the row's own. first marks the component's least row key, which tells rows apart
+    that share an id. Defined cases: a
     text without words (or null) has no shingles and is its own component; with fewer
     words than width, the whole sequence is one shingle; repeated rows and equal texts
     are one class; null ids are passed over by the least id, and a component of null ids
     alone has a null component_id and is kept; an empty table gives an empty table.
     """
-    from strandlight.llm.common import row_key
-
     keyed = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = cut(keyed.select("doc_id", "text", "k1", "k2").mapInArrow(_with_keys(_sketcher(width, bands, rows)), "k1 long, k2 long, doc_id long, n_shingles long, class binary, keys array<long>"))
-    classes = sketches.filter("class is not null").groupBy("class").agg(F.min(F.struct("k1", "k2")).alias("rep"), F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
-    reps = cut(classes.select("class", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "least", "keys"))
-    flat = reps.select("class", F.explode("keys").alias("bucket"))
-    shared = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = cut(flat.join(shared, "bucket", "left_semi").select("bucket", "class", F.col("class").alias("root")))
-    sets = _Sets(keyed, width)
-    links = link_classes(members, lambda pairs: sets.verify(pairs, reps, percent))
-    least = reps.select("class", "least")
+    classes = sketches.filter("class is not null").groupBy("class").agg(F.min(F.struct("k1", "k2")).alias("rep"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    reps = cut(classes.select("class", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "least", "n", "keys"))
+    flat = reps.select("class", "n", F.explode("keys").alias("bucket"))
+    shared = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
+    members = cut(flat.join(shared, "bucket", "left_semi").select("bucket", "class", "n", F.col("class").alias("root")))
+    sets = _class_sets(keyed, reps, members, width)
+    links = link_classes(members, lambda pairs: _verify(pairs, sets, percent), percent)
+    own = reps.select("class", "least", F.struct("k1", "k2").alias("first"))
     if links is not None and not links.isEmpty():
         roots = components(links).select(F.col("node").alias("class"), "root")
-        rooted = cut(least.join(roots, "class").select("class", "root", "least"))
-        low = rooted.groupBy("root").agg(F.min("least").alias("low"))
-        named = rooted.join(low, "root").select("class", "low")
-        least = least.join(named, "class", "left").select("class", F.coalesce("low", "least").alias("least"))
-    out = sketches.drop("keys").join(least, "class", "left")
+        rooted = cut(own.join(roots, "class").select("class", "root", "least", "first"))
+        low = rooted.groupBy("root").agg(F.min("least").alias("low"), F.min("first").alias("low_first"))
+        named = rooted.join(low, "root").select("class", "low", "low_first")
+        own = own.join(named, "class", "left").select("class", F.coalesce("low", "least").alias("least"), F.coalesce("low_first", "first").alias("first"))
+    out = sketches.drop("keys").join(own, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("k1", "k2", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    first = F.coalesce(F.struct("k1", "k2") == F.col("first"), F.lit(True))
+    return out.select("k1", "k2", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), first.alias("first"))
 
 
 def _with_keys(inner: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -239,4 +237,4 @@ def _with_keys(inner: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("k1", "k2")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("k1", "k2", "first")

@@ -56,7 +56,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> tupl
     words = raw.select("item_id", F.md5(F.coalesce("text", F.lit(""))).alias("item"), _words(F.coalesce("text", F.lit(""))).alias("words"))
     words = cut(words.select("item_id", "item", F.size("words").cast("int").alias("n_words"), _hashes("words", width).alias("hashes")).filter("n_words > 0"))
     n = words.count()
-    each = words.select("item_id", "item", F.explode(F.array_distinct("hashes")).alias("h"))
+    each = words.select("item_id", "item", F.explode_outer(F.array_distinct("hashes")).alias("h"))
     df = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     weight = F.round(F.log(1 + F.lit(float(n)) / F.col("df")), 9)
     weighted = each.join(df, "h").select("item_id", "item", "h", weight.alias("wt")).groupBy("item_id", "item").agg(F.array_sort(F.collect_list(F.struct("h", "wt"))).alias("sh"), F.sum("wt").alias("total"))
@@ -80,7 +80,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     seeds = items.select("n_words", F.posexplode("hashes").alias("o", "h")).groupBy("h").agg(F.collect_set(F.struct("n_words", "o")).alias("places"))
     keyed = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     hashed = keyed.select("k1", "k2", _words(F.col("text")).alias("words")).select("k1", "k2", _hashes("words", width).alias("hashes"))
-    spots = hashed.select("k1", "k2", F.size("hashes").alias("n"), F.posexplode("hashes").alias("p", "h")).join(broadcast_if_small(cut(seeds)), "h")
+    # the outer form, since for the inner one the optimizer repeats the hashing in a filter on the array's size
+    spots = hashed.select("k1", "k2", F.size("hashes").alias("n"), F.posexplode_outer("hashes").alias("p", "h")).join(broadcast_if_small(cut(seeds)), "h")
     place = spots.select("k1", "k2", "n", "p", F.explode("places").alias("place"))
     size = F.greatest(F.lit(1), F.col("place.n_words") - width + 1)  # in shingles
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("place.o"), F.col("n") - size))
@@ -89,7 +90,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts = keyed.select("k1", "k2", "doc_id", "text").join(broadcast_if_small(by_doc), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     with_hashes = texts.select("k1", "k2", "doc_id", "windows", _words(F.col("text")).alias("words")).select("k1", "k2", "doc_id", "windows", _hashes("words", width).alias("hashes"))
     cuts = F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["n_words"].alias("n_words"), F.slice("hashes", x["start"] + 1, F.greatest(F.lit(1), x["n_words"] - width + 1)).alias("sh")))
-    one = with_hashes.select("k1", "k2", "doc_id", F.explode(F.when(F.size("hashes") > 0, cuts)).alias("x")).select("k1", "k2", "doc_id", "x.start", "x.n_words", "x.sh")
+    one = with_hashes.select("k1", "k2", "doc_id", F.explode_outer(F.when(F.size("hashes") > 0, cuts)).alias("x")).filter("x is not null").select("k1", "k2", "doc_id", "x.start", "x.n_words", "x.sh")
     prints = cut(one.withColumn("fp", _fingerprint("sh")).withColumn("sh", F.array_distinct("sh")))
     index = items.select("item", "item_id", F.col("n_words").alias("i_words"), F.col("fp").alias("i_fp"), F.explode(_blocks("fp", radius)).alias("block"))
     index = index.select("item", "item_id", "i_words", "i_fp", F.col("block.no").alias("i_no"), F.col("block.bits").alias("i_bits"))

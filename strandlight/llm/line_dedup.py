@@ -31,7 +31,8 @@ def _running(keys: list[str], order: str, value: str) -> Column:
 
 def line_positions(keyed: DataFrame) -> DataFrame:
     """(k1, k2, at, line, w): every line with a word, its digest and its words."""
-    blocks = keyed.select("k1", "k2", F.posexplode(F.split("text", _BREAK, -1)).alias("at", "block"))
+    # the outer form, since for the inner one the optimizer repeats the split in a filter on the array's size
+    blocks = keyed.select("k1", "k2", F.posexplode_outer(F.split("text", _BREAK, -1)).alias("at", "block"))
     line = F.substring_index("block", "\n", 1)
     words = F.size(F.split(F.trim(F.translate(line, "\t\x0b\x0c\r", "    ")), " +"))
     return blocks.filter(F.col("block").rlike(rf"[^{SPACE}]")).select("k1", "k2", "at", F.unhex(F.md5(line)).alias("line"), words.alias("w"))
@@ -159,7 +160,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = rf"""
-with recursive l as (
+with l as (
   select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) no
   from documents where text is not null),
 b as (
@@ -168,31 +169,31 @@ b as (
   from l),
 n as (
   select *, sum(has::int) over (partition by doc_id order by no) - 1 wl,
-         not first_value(has) over (partition by doc_id order by no) lead_empty
+         not first_value(has) over (partition by doc_id order by no) padded
   from b),
 t as (
-  select doc_id, wl + lead_empty::int at, line, w,
+  select doc_id, (wl + padded::int) as pos, line, w,
          sum(w) over (partition by doc_id order by no) - w p
   from n where has),
 run as (
-  select a.doc_id, a.at, min(z.at) last
-  from t a join t z on z.doc_id = a.doc_id and z.at between a.at and a.at + {MIN_WORDS - 1}
+  select a.doc_id, a.pos, min(z.pos) as fin
+  from t a join t z on z.doc_id = a.doc_id and z.pos between a.pos and a.pos + {MIN_WORDS - 1}
                    and z.p + z.w - a.p >= {MIN_WORDS}
   group by all),
 keyed as (
-  select r.doc_id, r.at, r.last, md5(string_agg(t.line, chr(10) order by t.at)) k
-  from run r join t on t.doc_id = r.doc_id and t.at between r.at and r.last group by all),
+  select r.doc_id, r.pos, r.fin, md5(string_agg(t.line, chr(10) order by t.pos)) k
+  from run r join t on t.doc_id = r.doc_id and t.pos between r.pos and r.fin group by all),
 copies as (
-  select * from keyed qualify row_number() over (partition by k, last - at order by doc_id, at) > 1),
-gone as (select distinct t.doc_id, t.at from copies c join t on t.doc_id = c.doc_id and t.at between c.at and c.last),
-isl as (select doc_id, at, at - row_number() over (partition by doc_id order by at) g from gone),
+  select * from keyed qualify row_number() over (partition by k, fin - pos order by doc_id, pos) > 1),
+gone as (select distinct t.doc_id, t.pos from copies c join t on t.doc_id = c.doc_id and t.pos between c.pos and c.fin),
+isl as (select doc_id, pos, pos - row_number() over (partition by doc_id order by pos) g from gone),
 spans as (
   select doc_id, string_agg(a || ':' || z, ',' order by a) s, sum(z - a + 1) n
-  from (select doc_id, g, min(at)::bigint a, max(at)::bigint z from isl group by all) group by doc_id),
+  from (select doc_id, g, min(pos)::bigint a, max(pos)::bigint z from isl group by all) group by doc_id),
 kept as (
   select n.doc_id, string_agg(n.line, chr(10) order by n.no) txt
-  from n left join gone g on g.doc_id = n.doc_id and g.at = n.wl + n.lead_empty::int and n.wl >= 0
-  where g.at is null group by n.doc_id)
+  from n left join gone g on g.doc_id = n.doc_id and g.pos = n.wl + n.padded::int and n.wl >= 0
+  where g.pos is null group by n.doc_id)
 select d.doc_id, coalesce(s.n, 0)::bigint deleted_lines, coalesce(s.s, '') deleted_runs,
        case when d.text is null then null else length(coalesce(k.txt, ''))::bigint end kept_chars,
        case when d.text is null then null else sha256(coalesce(k.txt, '')) end text_sha256

@@ -26,6 +26,8 @@ from strandlight.llm.components import components
 BANDS, ROWS = 30, 5
 #: Pivots of a bucket in the first round; each later round has GROWTH times as many.
 PIVOTS, GROWTH = 1, 16
+#: Members of a bucket beyond which their own shingles are counted, to rule pairs out.
+LARGE = 32
 
 _M1, _M2, _FOLD = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(15)
 
@@ -107,7 +109,7 @@ def _setter(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(x.as_py(), width) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["class", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "set"])
 
     return run
 
@@ -117,7 +119,7 @@ def _verifier(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         for b in batches:
             keep = []
             for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-                p, q = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                p, q = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
                 both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
@@ -132,7 +134,23 @@ def _class_sets(docs: DataFrame, reps: DataFrame, members: DataFrame, width: int
     wanted = members.select("class").distinct()
     ids = cut(reps.join(wanted, "class", "left_semi").select("k1", "k2"))
     near = broadcast_if_small(ids)
-    return cut(docs.join(near, ["k1", "k2"], "left_semi").select("text").mapInArrow(_setter(width), "class binary, set binary"))
+    return cut(docs.join(near, ["k1", "k2"], "left_semi").select("text").mapInArrow(_setter(width), "class binary, set array<long>"))
+
+
+def _own_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members with own: how many of the class's shingles no other class of a large bucket has.
+
+    A shingle of its own is in no intersection, which bounds the similarity of two
+    members of a large bucket from above before any set is moved. Classes outside large
+    buckets have 0, which bounds nothing.
+    """
+    large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > LARGE).select("bucket")
+    crowd = cut(members.join(large, "bucket", "left_semi").select("class").distinct())
+    flat = sets.join(crowd, "class", "left_semi").select("class", F.explode_outer("set").alias("shingle"))
+    once = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class")).filter("n = 1")
+    own = once.groupBy("class").agg(F.count(F.lit(1)).alias("own"))
+    small = members.join(large, "bucket", "left_anti").withColumn("own", F.lit(0).cast("long"))
+    return cut(small.unionByName(members.join(large, "bucket", "left_semi").join(own, "class", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -147,14 +165,17 @@ def _roots(members: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         return members.withColumn("root", F.col("class"))
     roots = components(links)
-    return members.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "class", "n", F.coalesce("root", "class").alias("root"))
+    return members.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "class", "n", "own", F.coalesce("root", "class").alias("root"))
 
 
 def link_classes(members: DataFrame, decide: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
     """Verified links that give the components of all links among classes that share a bucket.
 
-    members: (bucket, class, n, root), n being the class's shingles; pairs whose sizes
-    rule a link out are not decided. A round takes the first pivots of every bucket and decides
+    Pivots come in the order of their own shingles: the first ones are the texts that
+    others were made from.
+
+    members: (bucket, class, n, own, root), n being the class's shingles and own those that
+    no partner has; pairs that these rule out are not decided. A round takes the first pivots of every bucket and decides
     their pairs with the bucket's other members. A bucket leaves when its members are one
     component, or all of them have been pivots. Pairs already in one component, or
     decided before, are not decided again. The work of a round is in proportion to the
@@ -163,11 +184,13 @@ def link_classes(members: DataFrame, decide: Callable[[DataFrame], DataFrame], p
     links, decided, pivots, done = None, None, PIVOTS, 0
     alive = members
     while True:
-        by_bucket = Window.partitionBy("bucket").orderBy("class")
+        by_bucket = Window.partitionBy("bucket").orderBy("own", "class")
         top = alive.withColumn("rank", F.row_number().over(by_bucket)).filter(F.col("rank") <= done + pivots).filter(F.col("rank") > done)
-        first = top.select("bucket", F.col("class").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("pivot_n"))
-        fits = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
-        pairs = alive.join(first, "bucket").filter((F.col("class") > F.col("pivot")) & (F.col("root") != F.col("pivot_root")) & fits).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
+        first = top.select("bucket", F.col("class").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("pivot_n"), F.col("own").alias("pivot_own"))
+        most = F.least(F.col("n") - F.col("own"), F.col("pivot_n") - F.col("pivot_own"))
+        fits = 100 * most >= percent * (F.col("n") + F.col("pivot_n") - most)
+        later = F.struct("own", "class") > F.struct("pivot_own", "pivot")
+        pairs = alive.join(first, "bucket").filter(later & (F.col("root") != F.col("pivot_root")) & fits).select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b")).distinct()
         if decided is not None:
             pairs = pairs.join(decided, ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -204,6 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
     members = cut(flat.join(shared, "bucket", "left_semi").select("bucket", "class", "n", F.col("class").alias("root")))
     sets = _class_sets(keyed, reps, members, width)
+    members = _own_shingles(members, sets)
     links = link_classes(members, lambda pairs: _verify(pairs, sets, percent), percent)
     own = reps.select("class", "least", F.struct("k1", "k2").alias("first"))
     if links is not None and not links.isEmpty():

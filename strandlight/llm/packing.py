@@ -10,7 +10,9 @@ size, and a last short window is cut at powers of two, which need no padding.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ WINDOW = 4096
 END_ID = 2
 #: Open windows a partition may hold; WINDOW * 4 bytes of ids each at most.
 MAX_OPEN = 1024
-#: Distinct words whose ids a worker remembers.
-MEMO_WORDS = 400_000
+#: Distinct words, and distinct stems, whose ids a worker remembers.
+MEMO_WORDS = 600_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 Piece = tuple  # (doc, start, ids as little-endian uint32 bytes)
@@ -35,8 +37,10 @@ class WordIds:
     """Ids of a text from the ids of its words.
 
     The vocabulary drops white space, and no token or normalisation crosses a space or a
-    line feed, so a text's ids are those of its parts between them. The tokenizer sees
-    each new part once, in batches.
+    line feed, so a text's ids are those of its parts between them. A word with a full
+    stop or comma is two tokens or more, split there, and the vocabulary is in lower
+    case; so the tokenizer sees each stem once. A stem of ASCII letters needs neither
+    its normalisation nor its splitting, and goes to its merges directly.
     """
 
     _cut = re.compile(r"[ \n]+")
@@ -45,22 +49,53 @@ class WordIds:
         one_thread()
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        memo = self.memo
+        self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer = self.merges.pre_tokenizer = None
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+        self._learn([".", ","])
+
+    @classmethod
+    def of_worker(cls, path: str) -> WordIds:
+        """The one that earlier tasks of this Python worker have left, or a new one."""
+        state = sys.modules.setdefault("strandlight_worker_state", ModuleType("strandlight_worker_state"))
+        if path not in state.__dict__:
+            state.__dict__[path] = cls(path)
+        return state.__dict__[path]
+
+    def _learn(self, stems: list[str]) -> None:
+        plain = [x for x in stems if x.isascii() and x.isalpha() and x.islower()]
+        known = set(plain)
+        rest = [x for x in stems if x not in known]
+        for tokenizer, group in ((self.merges, plain), (self.whole, rest)):
+            for x, e in zip(group, tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
+                self.stems[x] = np.array(e.ids, "<u4").tobytes()
+
+    def _add(self, words: list[str]) -> None:
+        """Put new words into the memo."""
+        parts = []
+        for w in words:
+            stem, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[:-1].isalpha() else (w, "")
+            if stem.isalpha():
+                stem = stem.lower() if stem.isascii() else stem[0].lower() + stem[1:] if stem[0].isascii() else stem
+            parts.append((w, stem, mark))
+        if len(self.stems) > MEMO_WORDS:
+            self.stems = {x: self.stems[x] for x in ("", ".", ",")}
+        if new := {stem for _, stem, _ in parts if stem not in self.stems}:
+            self._learn(list(new))
+        for w, stem, mark in parts:
+            self.words[w] = self.stems[stem] + self.stems[mark]
+
+    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         for text in texts:
             words = self._cut.split(text)
             try:
-                yield b"".join(map(memo.__getitem__, words))
+                yield b"".join(map(self.words.__getitem__, words))
             except KeyError:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                new = list({w for w in words if w not in memo})
-                for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    memo[w] = np.array(e.ids, "<u4").tobytes()
-                yield b"".join(map(memo.__getitem__, words))
+                if len(self.words) > MEMO_WORDS:
+                    self.words.clear()
+                self._add(list({w for w in words if w not in self.words}))
+                yield b"".join(map(self.words.__getitem__, words))
 
 
 class Packer:
@@ -151,7 +186,7 @@ class Packer:
 
 def _runner(path: str, window: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path)
+        encode = WordIds.of_worker(path)
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         out: list[list] = [[] for _ in range(7)]

@@ -160,12 +160,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(with_b.mapInArrow(_verifier(percent), "a binary, b binary, linked boolean").distinct())
 
 
-def _roots(members: DataFrame, links: DataFrame | None) -> DataFrame:
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     """members with the root of the class in the links so far."""
-    if links is None:
-        return members.withColumn("root", F.col("class"))
-    roots = components(links)
-    return members.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "class", "n", "own", F.coalesce("root", "class").alias("root"))
+    joined = members.drop("root").join(roots, F.col("class") == F.col("node"), "left")
+    return joined.select("bucket", "class", "n", "own", F.coalesce("root", "class").alias("root"))
 
 
 def link_classes(members: DataFrame, decide: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
@@ -175,11 +173,12 @@ def link_classes(members: DataFrame, decide: Callable[[DataFrame], DataFrame], p
     others were made from.
 
     members: (bucket, class, n, own, root), n being the class's shingles and own those that
-    no partner has; pairs that these rule out are not decided. A round takes the first pivots of every bucket and decides
-    their pairs with the bucket's other members. A bucket leaves when its members are one
-    component, or all of them have been pivots. Pairs already in one component, or
-    decided before, are not decided again. The work of a round is in proportion to the
-    members, however large a bucket is, and no pair that can change a component is lost.
+    no partner has; pairs that these rule out are not decided. A round takes the first
+    pivots of every bucket and decides their pairs with the bucket's other members. A
+    bucket leaves when its members are one component, or all of them have been pivots.
+    Pairs already in one component, or decided before, are not decided again. The work of
+    a round is in proportion to the members, however large a bucket is, and no pair that
+    can change a component is lost.
     """
     links, decided, pivots, done = None, None, PIVOTS, 0
     alive = members
@@ -198,12 +197,13 @@ def link_classes(members: DataFrame, decide: Callable[[DataFrame], DataFrame], p
             found = decide(pairs)
             decided = found.select("a", "b") if decided is None else decided.unionAll(found.select("a", "b"))
             new = found.filter("linked").select("a", "b")
-            links = new if links is None else links.unionAll(new)
+            if not new.isEmpty():
+                links = new if links is None else links.unionAll(new)
+                alive = _rooted(alive, cut(components(links)))
         done += pivots
         pivots *= GROWTH
-        rooted = _roots(alive.drop("root"), links)
-        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).filter((F.col("x") != F.col("y")) & (F.col("size") > done + 1)).select("bucket")
-        alive = cut(rooted.join(open_, "bucket", "left_semi"))
+        open_ = alive.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).filter((F.col("x") != F.col("y")) & (F.col("size") > done + 1)).select("bucket")
+        alive = cut(alive.join(open_, "bucket", "left_semi"))
         if alive.isEmpty():
             return links
 

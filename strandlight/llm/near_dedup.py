@@ -28,6 +28,10 @@ BANDS, ROWS = 30, 5
 PIVOTS, GROWTH = 1, 16
 #: Members of a bucket beyond which their own shingles are counted, to rule pairs out.
 LARGE = 32
+#: Cells that a set's shingles are counted in, for a bound on what two sets share.
+CELLS = 64
+#: Bytes of sets that are broadcast to verify a round's pairs; with more, pairs and sets meet by a shuffle.
+SET_BYTES = 48 << 20
 
 _M1, _M2, _FOLD = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(15)
 
@@ -109,7 +113,7 @@ def _setter(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(x.as_py(), width) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32) for s in sets], pa.list_(pa.int32()))], names=["class", "set", "cells"])
 
     return run
 
@@ -134,36 +138,41 @@ def _class_sets(docs: DataFrame, reps: DataFrame, members: DataFrame, width: int
     wanted = members.select("class").distinct()
     ids = cut(reps.join(wanted, "class", "left_semi").select("k1", "k2"))
     near = broadcast_if_small(ids)
-    return cut(docs.join(near, ["k1", "k2"], "left_semi").select("text").mapInArrow(_setter(width), "class binary, set array<long>"))
+    return cut(docs.join(near, ["k1", "k2"], "left_semi").select("text").mapInArrow(_setter(width), "class binary, set array<long>, cells array<int>"))
 
 
 def _own_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """members with own: how many of the class's shingles no other class of a large bucket has.
+    """members with own and cells, which bound similarities in large buckets before any set is moved.
 
-    A shingle of its own is in no intersection, which bounds the similarity of two
-    members of a large bucket from above before any set is moved. Classes outside large
-    buckets have 0, which bounds nothing.
+    own is how many of the class's shingles no other class of a large bucket has; those
+    are in no intersection. cells counts the shingles by their last bits; two sets share
+    the smaller count of each cell at most. In other buckets own is 0 and cells null.
     """
     large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > LARGE).select("bucket")
     crowd = cut(members.join(large, "bucket", "left_semi").select("class").distinct())
     flat = sets.join(crowd, "class", "left_semi").select("class", F.explode_outer("set").alias("shingle"))
     once = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class")).filter("n = 1")
     own = once.groupBy("class").agg(F.count(F.lit(1)).alias("own"))
-    small = members.join(large, "bucket", "left_anti").withColumn("own", F.lit(0).cast("long"))
-    return cut(small.unionByName(members.join(large, "bucket", "left_semi").join(own, "class", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))))
+    small = members.join(large, "bucket", "left_anti").withColumns({"own": F.lit(0).cast("long"), "cells": F.lit(None).cast("array<int>")})
+    known = sets.join(crowd, "class", "left_semi").select("class", "cells").join(own, "class", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+    return cut(small.unionByName(members.join(large, "bucket", "left_semi").join(known, "class")))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) with linked, decided on full sets."""
-    with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
-    with_b = with_a.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
+    asked = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
+    known = sets.join(asked, "class", "left_semi").select("class", "set")
+    if 8 * (known.agg(F.sum(F.size("set"))).first()[0] or 0) <= SET_BYTES:
+        known = F.broadcast(known)
+    with_a = pairs.join(known.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
+    with_b = with_a.join(known.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
     return cut(with_b.mapInArrow(_verifier(percent), "a binary, b binary, linked boolean").distinct())
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     """members with the root of the class in the links so far."""
     joined = members.drop("root").join(roots, F.col("class") == F.col("node"), "left")
-    return joined.select("bucket", "class", "n", "own", F.coalesce("root", "class").alias("root"))
+    return joined.select("bucket", "class", "n", "own", "cells", F.coalesce("root", "class").alias("root"))
 
 
 def link_classes(members: DataFrame, decide: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
@@ -172,8 +181,8 @@ def link_classes(members: DataFrame, decide: Callable[[DataFrame], DataFrame], p
     Pivots come in the order of their own shingles: the first ones are the texts that
     others were made from.
 
-    members: (bucket, class, n, own, root), n being the class's shingles and own those that
-    no partner has; pairs that these rule out are not decided. A round takes the first
+    members: (bucket, class, n, own, cells, root), as `_own_shingles` gives them; pairs that
+    these rule out are not decided. A round takes the first
     pivots of every bucket and decides their pairs with the bucket's other members. A
     bucket leaves when its members are one component, or all of them have been pivots.
     Pairs already in one component, or decided before, are not decided again. The work of
@@ -185,8 +194,9 @@ def link_classes(members: DataFrame, decide: Callable[[DataFrame], DataFrame], p
     while True:
         by_bucket = Window.partitionBy("bucket").orderBy("own", "class")
         top = alive.withColumn("rank", F.row_number().over(by_bucket)).filter(F.col("rank") <= done + pivots).filter(F.col("rank") > done)
-        first = top.select("bucket", F.col("class").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("pivot_n"), F.col("own").alias("pivot_own"))
-        most = F.least(F.col("n") - F.col("own"), F.col("pivot_n") - F.col("pivot_own"))
+        first = top.select("bucket", F.col("class").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("pivot_n"), F.col("own").alias("pivot_own"), F.col("cells").alias("pivot_cells"))
+        both = F.aggregate(F.zip_with("cells", "pivot_cells", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+        most = F.least(F.col("n") - F.col("own"), F.col("pivot_n") - F.col("pivot_own"), both)
         fits = 100 * most >= percent * (F.col("n") + F.col("pivot_n") - most)
         later = F.struct("own", "class") > F.struct("pivot_own", "pivot")
         pairs = alive.join(first, "bucket").filter(later & (F.col("root") != F.col("pivot_root")) & fits).select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b")).distinct()

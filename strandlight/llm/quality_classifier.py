@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlight.llm.common import table
@@ -165,8 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Labels other than 0 and 1, and null ids, are passed over.
     """
     rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
-    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample).drop("rank")
+    least = lambda label: rows.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = least(0).unionAll(least(1))  # a top-k each: every task passes on sample rows at most
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "label", "text")
     found = texts.mapInArrow(_features, "doc_id long, label int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     bags = [np.frombuffer(x.as_py(), np.float32).reshape(-1, FEATURES) for x in found.column("x")]

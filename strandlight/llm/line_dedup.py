@@ -3,9 +3,11 @@ r"""Repeated line runs, by a suffix array over line ids.
 Lines that occur once end a sequence; the others get ids in the order of their digests.
 Prefix doubling ranks every position's suffix by its first 1, 2, 4, ... lines, as far as
 the deletion rule looks. The suffixes that share their first L lines are the
-longest-common-prefix interval of depth L; for each position, L is the least depth at
-which the run has `min_words` words, and if its interval holds an earlier position the
-run is a later copy. Overlapping runs join to maximal ones, whose lines are deleted.
+longest-common-prefix interval of depth L. For each position, L goes over the runs of
+`min_words` words or more that fall below it without their last line or without their
+first one; if the interval holds an earlier position the run is a later copy. Every
+repeated run of `min_words` words is a union of such runs: those that start at its lines,
+and the one that ends with it. Overlapping runs join to maximal ones, whose lines are deleted.
 """
 
 from __future__ import annotations
@@ -80,23 +82,32 @@ def suffix_ranks(positions: DataFrame, depth: int) -> DataFrame:
 
 
 def _depths(tokens: DataFrame, min_words: int) -> DataFrame:
-    """tokens with depth: the least number of lines from here, within the sequence, that have min_words words."""
+    """tokens with depth and longest, both null if the sequence ends before min_words words.
+
+    depth is the least number of lines from here that have min_words words, and longest the
+    greatest with fewer than that after the first line, or depth if that is more.
+    """
     ahead = Window.partitionBy("k1", "k2", "seg").orderBy("at").rowsBetween(0, min_words - 1)
     some = tokens.withColumn("ahead", F.when(F.col("w") < min_words, F.collect_list(F.least("w", F.lit(min_words))).over(ahead)))
     total = F.aggregate("ahead", F.struct(F.lit(0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.when(a["s"] >= min_words, a).otherwise(F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n"))))
-    return some.withColumn("total", total).withColumn("depth", F.when(F.col("w") >= min_words, 1).when(F.col("total.s") >= min_words, F.col("total.n"))).drop("ahead", "total")
+    least = some.withColumn("total", total).withColumn("depth", F.when(F.col("w") >= min_words, 1).when(F.col("total.s") >= min_words, F.col("total.n"))).drop("ahead", "total")
+    seg = Window.partitionBy("k1", "k2", "seg")
+    rest = F.max("at").over(seg) - F.col("at") + 1
+    following = F.coalesce(F.lead("depth").over(seg.orderBy("at")), rest)  # as many lines from the next one on have min_words words, one fewer do not
+    return least.withColumn("longest", F.when(F.col("depth").isNotNull(), F.greatest("depth", following)))
 
 
 def later_copies(positions: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k1, k2, first, last): maximal runs of lines that copy earlier ones, a run having min_words words or more."""
     tokens = cut(_depths(repeated_positions(positions), min_words))
-    deepest = tokens.agg(F.max("depth")).first()[0] or 0
+    deepest = tokens.agg(F.max("longest")).first()[0] or 0
     levels = max(0, deepest.bit_length() - 1)  # runs of depth L are named by two of 2^k <= L lines
     for k in range(levels):
         tokens = _double(tokens, k)
     k = F.floor(F.log2("depth") + 1e-9).cast("int")
     rank_at = lambda k: F.coalesce(*(F.when(k == i, F.col(f"r{i}")) for i in range(levels + 1)))
-    runs = tokens.filter("depth is not null").select("k1", "k2", "at", "depth", k.alias("k"), rank_at(k).alias("head"))
+    starts = tokens.filter("depth is not null").withColumn("depth", F.explode(F.sequence("depth", "longest")))
+    runs = starts.select("k1", "k2", "at", "depth", k.alias("k"), rank_at(k).alias("head"))
     tails = tokens.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("at").alias("t"), *(F.col(f"r{i}").alias(f"t{i}_") for i in range(levels + 1)))
     tail_rank = F.coalesce(*(F.when(F.col("k") == i, F.col(f"t{i}_")) for i in range(levels + 1)))
     whole = runs.filter(F.expr("depth = shiftleft(1, k)")).select("k1", "k2", "at", "depth", "head", F.col("head").alias("tail"))
@@ -107,7 +118,7 @@ def later_copies(positions: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     copies = named.join(intervals, ["depth", "head", "tail"]).filter(F.struct("k1", "k2", "at") != F.col("original"))
     doc = Window.partitionBy("k1", "k2").orderBy("at")
     end = F.col("at") + F.col("depth") - 1
-    seen = copies.select("k1", "k2", "at", end.alias("end")).withColumn("until", F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1)))
+    seen = copies.groupBy("k1", "k2", "at").agg(F.max(end).alias("end")).withColumn("until", F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1)))
     runs = seen.withColumn("run", F.sum(F.when(F.col("at") <= F.col("until") + 1, 0).otherwise(1)).over(doc))
     return cut(runs.groupBy("k1", "k2", "run").agg(F.min("at").alias("first"), F.max("end").alias("last")).drop("run"))
 

@@ -8,6 +8,7 @@ zeros and ones from its first zero to its last one, so the runs around stay whol
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMES = ("diff", "diff_long", "none")
-#: Largest product of zeros and ones of a window that is permuted; larger ones stay as they are.
+#: Where values below 0 are allowed: largest product of zeros and ones of a window that is searched whole. Larger ones are first cut down by greedy steps.
 MAX_GRID = 400
 
 
@@ -67,13 +68,95 @@ def best_window(zeros: int, ones: int, value: int, tau: int, negative: bool, cos
     return out[::-1]
 
 
-def permute(bits: str, tau: int, scheme: str = "diff", negative: bool = False, threshold: int = 8) -> str:
-    """The bit form with every window permuted for the least cost."""
+class Band:
+    """Cheapest run pairs for all windows that begin at one value, where no value falls below 0.
+
+    Values stay within 0 .. tau - 1, so for each number of zeros there are at most tau
+    numbers of ones, and a pair has at most tau zeros: the table grows with the zeros of
+    the longest window only, and holds the least cost for every window, however long.
+    """
+
+    def __init__(self, value: int, tau: int, cost: Callable[[int, int], int]) -> None:
+        self.value, self.tau, self.cost = value, tau, cost
+        self.costs: dict[tuple[int, int], int] = {}
+        self.rows: list[dict[int, tuple[int, int, int]]] = [{value: (0, -1, -1)} if 0 <= value < tau else {}]
+
+    def _extend(self) -> None:
+        """The next number of zeros: value of the last one to cost, zeros and value before the last pair."""
+        z, tau, costs, row = len(self.rows), self.tau, self.costs, {}
+        for before in range(max(0, z - tau), z):
+            dz = z - before
+            for v, (base, _, _) in self.rows[before].items():
+                if v + dz - 1 >= tau:
+                    continue
+                for do in range(max(1, v + dz - tau + 1), v + dz + 1):
+                    if (dz, do) not in costs:
+                        costs[dz, do] = self.cost(dz, do)
+                    c, to = base + costs[dz, do], v + dz - do
+                    if to not in row or c < row[to][0]:
+                        row[to] = (c, before, v)
+        # fewer ones first, the order in which equal costs are decided
+        self.rows.append({v: row[v] for v in sorted(row, reverse=True)})
+
+    def total(self, zeros: int, ones: int) -> int | None:
+        while len(self.rows) <= zeros:
+            self._extend()
+        found = self.rows[zeros].get(self.value + zeros - ones)
+        return found and found[0]
+
+    def pairs(self, zeros: int, ones: int) -> list[tuple[int, int]] | None:
+        if self.total(zeros, ones) is None:
+            return None
+        out, z, v = [], zeros, self.value + zeros - ones
+        while z:
+            _, before, u = self.rows[z][v]
+            out.append((z - before, u + z - before - v))
+            z, v = before, u
+        return out[::-1]
+
+
+def greedy_pairs(zeros: int, ones: int, value: int, tau: int, cost: Callable[[int, int], int]) -> list[tuple[int, int]] | None:
+    """Run pairs where values below 0 are allowed: from the end, the pair with the most bits for each bit of code, until
+    the rest can be searched whole. Each rest is at least a zero and a one and ends below tau, so there is a way for it."""
+    out = []
+    while zeros * ones > MAX_GRID:
+        best, pair = 0.0, (zeros, ones)
+        for j in range(max(1, value + zeros - tau), ones):
+            for i in range(1, min(zeros - 1, tau - 1 - value + j) + 1):
+                ratio = (zeros - i + ones - j) / cost(zeros - i, ones - j)
+                if ratio > best:
+                    best, pair = ratio, (zeros - i, ones - j)
+        out.append(pair)
+        zeros, ones = zeros - pair[0], ones - pair[1]
+        if not zeros:
+            return out[::-1]
+    rest = best_window(zeros, ones, value, tau, True, cost)
+    return rest and rest + out[::-1]
+
+
+def permute(bits: str, tau: int, scheme: str = "diff", negative: bool = False, threshold: int = 8, memo: dict | None = None) -> str:
+    """The bit form with every window permuted for the least cost; with negative, windows over MAX_GRID for less, if greedy steps find less.
+
+    memo is kept from call to call with the same arguments but bits.
+    """
     cost = pair_cost(scheme, threshold)
     out, window = [], []
-    memo: dict[tuple[int, int, int], list[tuple[int, int]] | None] = {}
+    memo = {} if memo is None else memo
     value, before = 1, None  # value of the last one; of the last one that reaches tau
 
+    def least(core: str, start: int) -> list[tuple[int, int]] | None:
+        """Run pairs for the window's bits after a value; None to leave it."""
+        zeros, ones = core.count("0"), core.count("1")
+        if not negative:
+            if start not in memo:
+                memo[start] = Band(start, tau, cost)
+            return memo[start].pairs(zeros, ones)
+        key = (zeros, ones, start)
+        if key not in memo:
+            memo[key] = greedy_pairs(*key, tau, cost)
+        own = sum(cost(len(z), len(o)) for z, o in re.findall("(0+)(1+)", core))
+        return memo[key] if memo[key] and sum(cost(*p) for p in memo[key]) < own else None
+
     def close() -> None:
         """Write the bits since the last kept one, permuted from the first zero to the last one."""
         text = "".join(window)
@@ -83,13 +166,7 @@ def permute(bits: str, tau: int, scheme: str = "diff", negative: bool = False, t
             out.append(text)
             return
         core = text[first : last + 1]
-        key = (core.count("0"), core.count("1"), before - first)
-        if key[0] * key[1] > MAX_GRID:
-            out.append(text)
-            return
-        if key not in memo:
-            memo[key] = best_window(*key, tau, negative, cost)
-        pairs = memo[key]
+        pairs = least(core, before - first)
         out.append(text[:first] + ("".join("0" * z + "1" * o for z, o in pairs) if pairs else core) + text[last + 1 :])
 
     for part in bits.split("1")[:-1]:
@@ -110,8 +187,9 @@ def permute(bits: str, tau: int, scheme: str = "diff", negative: bool = False, t
 
 def _permuter(tau: int, scheme: str, negative: bool, threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
         for b in batches:
-            new = [permute(x, tau, scheme, negative, threshold) if x else x for x in b.column(b.num_columns - 1).to_pylist()]
+            new = [permute(x, tau, scheme, negative, threshold, memo) if x else x for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=[*b.schema.names, "permuted"])
 
     return run

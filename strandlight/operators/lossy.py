@@ -1,7 +1,7 @@
 """Bit forms with fewer bits to code that keep every value from a threshold on.
 
-Between two ones whose values reach tau, zeros and ones may change places as long as
-their numbers stay and no value in between reaches tau or, unless allowed, falls below
+Between two ones whose values reach tau, before the first such one and after the last,
+zeros and ones may change places as long as their numbers stay and no value in between reaches tau or, unless allowed, falls below
 0. Each such window is permuted on its own for the least code length; a window has the
 zeros and ones from its first zero to its last one, so the runs around stay whole.
 """
@@ -118,6 +118,8 @@ class Band:
 def greedy_pairs(zeros: int, ones: int, value: int, tau: int, cost: Callable[[int, int], int]) -> list[tuple[int, int]] | None:
     """Run pairs where values below 0 are allowed: from the end, the pair with the most bits for each bit of code, until
     the rest can be searched whole. Each rest is at least a zero and a one and ends below tau, so there is a way for it."""
+    if value >= tau or value + zeros - ones >= tau:
+        return None
     out = []
     while zeros * ones > MAX_GRID:
         best, pair = 0.0, (zeros, ones)
@@ -144,9 +146,8 @@ def permute(bits: str, tau: int, scheme: str = "diff", negative: bool = False, t
     memo = {} if memo is None else memo
     value, before = 1, None  # value of the last one; of the last one that reaches tau
 
-    def least(core: str, start: int) -> list[tuple[int, int]] | None:
-        """Run pairs for the window's bits after a value; None to leave it."""
-        zeros, ones = core.count("0"), core.count("1")
+    def least(zeros: int, ones: int, start: int) -> list[tuple[int, int]] | None:
+        """Run pairs with these sums after the value start; None if there is no way."""
         if not negative:
             if start not in memo:
                 memo[start] = Band(start, tau, cost)
@@ -154,20 +155,29 @@ def permute(bits: str, tau: int, scheme: str = "diff", negative: bool = False, t
         key = (zeros, ones, start)
         if key not in memo:
             memo[key] = greedy_pairs(*key, tau, cost)
-        own = sum(cost(len(z), len(o)) for z, o in re.findall("(0+)(1+)", core))
-        return memo[key] if memo[key] and sum(cost(*p) for p in memo[key]) < own else None
+        return memo[key]
+
+    def close(end: bool = False) -> None:
+        """Write the bits since the last kept one, permuted from the first zero to the last one.
 
-    def close() -> None:
-        """Write the bits since the last kept one, permuted from the first zero to the last one."""
+        Before the first kept one, ones that lead may come in too, and after the last kept
+        one (end) zeros that trail, if that costs less.
+        """
         text = "".join(window)
         window.clear()
         first, last = text.find("0"), text.rfind("1")
-        if before is None or first < 0 or last < first:
+        if first < 0 or last < first:
             out.append(text)
             return
-        core = text[first : last + 1]
-        pairs = least(core, before - first)
-        out.append(text[:first] + ("".join("0" * z + "1" * o for z, o in pairs) if pairs else core) + text[last + 1 :])
+        start = 1 if before is None else before
+        lowest, new = sum(cost(len(z), len(o)) for z, o in re.findall("(0+)(1+)", text)) + 1, text
+        for left in dict.fromkeys((first, 0)) if before is None else (first,):
+            for more in range(min(len(text) - last - 1, tau - 1 - value) + 1 if end else 1):
+                right = last + 1 + more
+                pairs = least(text.count("0", left, right), text.count("1", left, right), start - left)
+                if pairs and (c := sum(cost(*p) for p in pairs)) < lowest:
+                    lowest, new = c, text[:left] + "".join("0" * z + "1" * o for z, o in pairs) + "0" * (len(text) - right)
+        out.append(new)
 
     for part in bits.split("1")[:-1]:
         value += len(part) - 1
@@ -179,9 +189,7 @@ def permute(bits: str, tau: int, scheme: str = "diff", negative: bool = False, t
         else:
             window.append(part + "1")
     window.append(bits[bits.rfind("1") + 1 :])
-    tail, before = before, None  # nothing is kept after the last window, so it stays
-    close()
-    del tail
+    close(end=True)
     return "".join(out)
 
 
@@ -209,11 +217,20 @@ def changed(permuted: DataFrame, keys: Sequence[str]) -> DataFrame:
     return permuted.select(*keys, same.cast("long").alias("n_changed"))
 
 
-def windows(ms: DataFrame, keys: Sequence[str], tau: int) -> DataFrame:
-    """keys, window, first, last, zeros: the values below tau between two that reach it, and the zeros written before them and before the next."""
+def windows(ms: DataFrame, keys: Sequence[str], tau: int, part: str = "all") -> DataFrame:
+    """keys, window, first, last, zeros: the values below tau between two that reach it, and the zeros written before them and before the next.
+
+    Window 0 is the one before the first value that reaches tau; the one after the last such
+    value has the zeros up to the end. part: inner (with such a value on both sides), ends, all.
+    """
+    if part not in ("inner", "ends", "all"):
+        raise ValueError("part must be inner, ends or all")
     w = Window.partitionBy(*keys).orderBy("pos")
     rows = ms.withColumns({"__z": F.col("ms") - F.lag("ms", 1, 1).over(w) + 1, "__k": (F.col("ms") >= tau).cast("int")})
     rows = rows.withColumns({"window": F.sum("__k").over(w) - F.col("__k"), "__all": F.sum("__k").over(Window.partitionBy(*keys))})
-    inside = rows.filter((F.col("window") > 0) & (F.col("window") < F.col("__all")))
-    found = inside.groupBy(*keys, "window").agg(F.min(F.when(F.col("__k") == 0, F.col("pos"))).alias("first"), F.max(F.when(F.col("__k") == 0, F.col("pos"))).alias("last"), F.sum("__z").cast("long").alias("zeros"))
+    inner = (F.col("window") > 0) & (F.col("window") < F.col("__all"))
+    rows = rows.filter({"inner": inner, "ends": ~inner, "all": F.lit(True)}[part])
+    # a vector of n values has 2n bits, so a last value of 0 leaves a zero after it
+    trail = F.when(F.max("window") == F.max("__all"), F.greatest(F.lit(0), 1 - F.max_by("ms", "pos"))).otherwise(0)
+    found = rows.groupBy(*keys, "window").agg(F.min(F.when(F.col("__k") == 0, F.col("pos"))).alias("first"), F.max(F.when(F.col("__k") == 0, F.col("pos"))).alias("last"), (F.sum("__z") + trail).cast("long").alias("zeros"))
     return found.filter("first is not null")

@@ -71,7 +71,19 @@ def lossy_cost(spark: SparkSession, d: str) -> DataFrame:
   select conv_id, turn, win as "window", min(case when k = 0 then pos end) as first, max(case when k = 0 then pos end) as last, sum(z)::bigint zeros
   from a where win > 0 and win < n group by all having min(case when k = 0 then pos end) is not null""")
 def lossy_windows(spark: SparkSession, d: str) -> DataFrame:
-    return lossy.windows(_ms(spark, d), KEYS, TAU)
+    """The windows between two values that reach tau; lossy_end_windows has the first and the last one of each turn."""
+    return lossy.windows(_ms(spark, d), KEYS, TAU, "inner")
+
+
+@query("lossy_end_windows", MS + f""", a as (
+  select *, ms - lag(ms, 1, 1) over w + 1 z, (ms >= {TAU})::int k, (sum((ms >= {TAU})::int) over w - (ms >= {TAU})::int)::bigint as win,
+         sum((ms >= {TAU})::int) over (partition by conv_id, turn) n
+  from ms window w as (partition by conv_id, turn order by pos))
+  select conv_id, turn, win as "window", min(case when k = 0 then pos end) as first, max(case when k = 0 then pos end) as last,
+         (sum(z) + case when win = n then greatest(0, 1 - arg_max(ms, pos)) else 0 end)::bigint zeros
+  from a where win = 0 or win = n group by conv_id, turn, win, n having min(case when k = 0 then pos end) is not null""")
+def lossy_end_windows(spark: SparkSession, d: str) -> DataFrame:
+    return lossy.windows(_ms(spark, d), KEYS, TAU, "ends")
 
 
 def _lossy(scheme: str):

@@ -69,3 +69,35 @@ def test_band_has_the_least_cost(scheme):
                     assert (sum(z for z, _ in pairs), sum(o for _, o in pairs)) == (zeros, ones)
                     assert sum(cost(*p) for p in pairs) == sum(cost(*p) for p in want)
                     assert pairs == want
+
+
+@pytest.mark.parametrize("scheme", lossy.SCHEMES)
+@pytest.mark.parametrize("negative", [False, True])
+def test_first_and_last_windows_cost_less(scheme, negative):
+    r = random.Random(10)
+    for k in range(30):
+        low = vector(r, 40, TAU - 1)
+        values, bits = low if k % 3 == 0 else vector(r, 60)
+        bits += "0" * (k % 2)
+        new = lossy.permute(bits, TAU, scheme, negative)
+        holds(values, bits, new, -len(bits) if negative else 0)
+        assert total(new, scheme) <= total(bits, scheme)
+        if k % 3 == 0:  # no value reaches tau: the whole vector is one window
+            assert total(new, scheme) < total(bits, scheme)
+    kept = "0" * TAU + "1"  # a value of tau
+    alternate = "01" * 20
+    for bits, at in ((alternate + kept, slice(0, 40)), (kept + "1" + alternate, slice(9, None))):
+        new = lossy.permute(bits, TAU, scheme, negative)
+        assert total(new, scheme) < total(bits, scheme) and new[at] != bits[at] and new.count("1") == bits.count("1")
+    assert lossy.permute("1" + "0" * 9 + "1", TAU, scheme, negative) == "1" + "0" * 9 + "1" and lossy.permute("", TAU, scheme, negative) == ""
+
+
+def test_windows_have_the_first_and_the_last(spark):
+    vectors = {0: [1, 2, 7, 6, 5, 8, 7, 6, 5, 4, 3, 2, 1, 0], 1: [3, 2, 1], 2: [9, 8, 7], 3: [1, 9, 8, 7, 6]}
+    ms = spark.createDataFrame([(q, i, v) for q, x in vectors.items() for i, v in enumerate(x)], "qid long, pos long, ms int")
+    got = {part: sorted(tuple(x) for x in lossy.windows(ms, ["qid"], TAU, part).collect()) for part in ("all", "inner", "ends")}
+    assert got["inner"] == [(0, 1, 3, 4, 4)]
+    assert got["ends"] == [(0, 0, 0, 1, 9), (0, 3, 7, 13, 1), (1, 0, 0, 2, 3), (3, 0, 0, 0, 10), (3, 3, 4, 4, 0)]
+    assert got["all"] == sorted(got["inner"] + got["ends"])
+    with pytest.raises(ValueError):
+        lossy.windows(ms, ["qid"], TAU, "middle")

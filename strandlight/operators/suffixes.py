@@ -6,7 +6,8 @@ and many texts spread over the executors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -152,20 +153,50 @@ def node_depths(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return now.select(*keys, "lo", "hi", F.col("d").cast("long").alias("node_depth"))
 
 
-def repeats(texts: DataFrame, keys: Sequence[str], longest: int, text_col: str = "text") -> DataFrame:
-    """keys, gram, n, n_next, n_prev: every substring of up to longest symbols, with its distinct neighbours; a text's end is one."""
-    cut = texts.filter(F.length(text_col) > 0).select(*keys, F.col(text_col).alias("__t"), F.explode(F.sequence(F.lit(1), F.length(text_col))).alias("__p")).select(*keys, F.col("__t").substr(F.greatest(F.lit(1), F.col("__p") - 1), F.lit(longest + 2)).alias("__w"), (F.col("__p") > 1).cast("int").alias("__h"))
-    each = cut.withColumn("__l", F.explode(F.sequence(F.lit(1), F.lit(longest)))).filter(F.col("__l") <= F.length("__w") - F.col("__h"))
-    gram = each.select(*keys, F.col("__w").substr(F.col("__h") + 1, F.col("__l")).alias("gram"), F.col("__w").substr(F.col("__h") + 1 + F.col("__l"), F.lit(1)).alias("next"), F.when(F.col("__h") == 1, F.substring("__w", 1, 1)).otherwise(F.lit("")).alias("prev"))
-    return gram.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("next").alias("n_next"), F.count_distinct("prev").alias("n_prev"))
+def text_repeats(texts: Sequence[str]) -> Iterator[tuple[str, int, bool]]:
+    """(gram, n, left-maximal) of every substring of the texts with two distinct symbols or more after it; a text's end is one.
+
+    These are the inner nodes of the suffix tree, of all lengths. Each text has an end mark of its own in the table.
+    """
+    parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in texts]
+    codes = np.concatenate([np.append(x, 0x110000 + i) for i, x in enumerate(parts)])
+    whole = "\0".join(texts)
+    order, lcp = sort_suffixes(codes)
+    after = np.minimum(codes, 0x110000)  # all ends are one neighbour
+    prev = np.concatenate([[0x110000], after[:-1]])[order]
+    changes = np.concatenate([[0], np.cumsum(prev[1:] != prev[:-1])])
+    for lo, hi, depth, _, _ in _grow_intervals(lcp.tolist()):
+        # next symbols are in order within a node, ends last
+        if depth and after[order[lo] + depth] != after[order[hi] + depth]:
+            yield whole[order[lo] : order[lo] + depth], hi - lo + 1, bool(changes[hi] > changes[lo])
+
+
+def _repeats(left: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                found = ((gram, n) for gram, n, both in text_repeats(b.column(b.num_columns - 1)[i].as_py()) if both or not left)
+                while some := list(islice(found, 10_000)):
+                    keys = [c.take(pa.array([i] * len(some))) for c in b.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array([g for g, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], names=[*b.schema.names[:-1], "gram", "n"])
+
+    return run
+
+
+def _read_repeats(texts: DataFrame, keys: Sequence[str], text_col: str, left: bool) -> DataFrame:
+    lists = texts.filter(F.length(text_col) > 0).groupBy(*keys).agg(F.collect_list(text_col).alias("__t"))
+    schema = ", ".join([*(f"`{k}` {lists.schema[k].dataType.simpleString()}" for k in keys), "gram string, n bigint"])
+    return lists.mapInArrow(_repeats(left), schema)
 
 
-def maximal_repeats(texts: DataFrame, keys: Sequence[str], longest: int, text_col: str = "text") -> DataFrame:
-    return repeats(texts, keys, longest, text_col).filter("n_next > 1 and n_prev > 1").select(*keys, "gram", "n")
+def maximal_repeats(texts: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
+    """keys, gram, n: the substrings, of any length, with distinct symbols before and after them; a text's start and end are such."""
+    return _read_repeats(texts, keys, text_col, True)
 
 
-def right_maximal(texts: DataFrame, keys: Sequence[str], longest: int, text_col: str = "text") -> DataFrame:
-    return repeats(texts, keys, longest, text_col).filter("n_next > 1").select(*keys, "gram", "n")
+def right_maximal(texts: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
+    """keys, gram, n: the substrings, of any length, with distinct symbols after them; a text's end is one."""
+    return _read_repeats(texts, keys, text_col, False)
 
 
 def entropy(texts: DataFrame, keys: Sequence[str], k: int, text_col: str = "text") -> DataFrame:

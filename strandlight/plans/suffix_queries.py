@@ -9,6 +9,7 @@ from strandlight.operators import suffixes as sx
 from strandlight.plans.registry import query, read
 
 K = ["item_id"]
+#: Longest repeat that the SQL lists; the queries list all.
 LONGEST = 12
 
 #: sx(item_id, t, n, sa_pos, sfx, sa_rank)
@@ -153,12 +154,12 @@ r as (select item_id, gram, count(*) n, count(distinct nx) n_next, count(distinc
 
 @query("maximal_repeats", _GRAMS + " select item_id, gram, n from r where n_next > 1 and n_prev > 1")
 def maximal_repeats(spark: SparkSession, d: str) -> DataFrame:
-    return sx.maximal_repeats(_texts(spark, d), K, LONGEST)
+    return sx.maximal_repeats(_texts(spark, d), K)
 
 
 @query("right_maximal", _GRAMS + " select item_id, gram, n from r where n_next > 1")
 def right_maximal(spark: SparkSession, d: str) -> DataFrame:
-    return sx.right_maximal(_texts(spark, d), K, LONGEST)
+    return sx.right_maximal(_texts(spark, d), K)
 
 
 def _entropy_sql(k: int) -> str:

@@ -8,7 +8,7 @@ document labels, in numpy, on a bounded sample of labelled rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +25,6 @@ FEATURES = SLOTS + STYLE
 CODE, GATE = 24, 16
 #: Labelled rows of each class that the model is fitted on at most: those with the least hash of doc_id.
 SAMPLE_OF_CLASS = 2000
-#: Passages of a document in training at most, evenly spread over the whole text; scores use all.
-TRAIN_PASSAGES = 48
 THRESHOLD = 0.3
 
 _TABLES: dict[str, np.ndarray] = {}
@@ -97,13 +95,30 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), a
 
 
+@dataclass
+class Bag:
+    """The features of all passages of a document, without zeros: places in the flat array, and values."""
+
+    n: int
+    at: np.ndarray
+    values: np.ndarray
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        x = np.zeros(self.n * FEATURES, np.float32)
+        x[self.at] = self.values
+        return x.reshape(self.n, FEATURES)
+
+
 def _init(seed: int) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     draw = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     return {"e": draw(FEATURES, CODE), "eb": np.zeros(CODE, np.float32), "v": draw(CODE, GATE), "u": draw(CODE, GATE), "a": draw(GATE), "c": draw(CODE), "cb": np.zeros(1, np.float32)}
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.004, decay: float = 1e-4, seed: int = 0) -> Model:
+def fit(bags: Sequence[np.ndarray | Bag], labels: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.004, decay: float = 1e-4, seed: int = 0) -> Model:
     """Adam on the log loss of bags; classes weigh the same. Without both classes, the score is 0.5 of an untrained
     model's bias: the share of ones."""
     w = _init(seed)
@@ -118,7 +133,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int
         order = r.permutation(len(bags))
         for s in range(0, len(order), batch):
             pick = order[s : s + batch]
-            x = np.concatenate([bags[i] for i in pick])
+            x = np.concatenate([np.asarray(bags[i]) for i in pick])
             sizes = np.array([len(bags[i]) for i in pick])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             own = np.repeat(np.arange(len(pick)), sizes)
@@ -150,17 +165,18 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
+        n, places, values = [], [], []
         for text in b.column("text"):
             x = passages(text.as_py())
-            if len(x) > TRAIN_PASSAGES:
-                x = x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
-            rows.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
+            at = np.flatnonzero(x)
+            n.append(len(x))
+            places.append(at.astype(np.uint32).tobytes())
+            values.append(x.ravel()[at].tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(n, pa.int32()), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "label", "n", "at", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_OF_CLASS) -> Model:
-    """Fit on at most sample rows of each class: those of labels with the least hash of the id.
+    """Fit on all passages of at most sample rows of each class: those of labels with the least hash of the id.
 
     Labels other than 0 and 1, and null ids, are passed over.
     """
@@ -168,8 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     least = lambda label: rows.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample)
     chosen = least(0).unionAll(least(1))  # a top-k each: every task passes on sample rows at most
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "label", "text")
-    found = texts.mapInArrow(_features, "doc_id long, label int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
-    bags = [np.frombuffer(x.as_py(), np.float32).reshape(-1, FEATURES) for x in found.column("x")]
+    found = texts.mapInArrow(_features, "doc_id long, label int, n int, at binary, x binary").toArrow().sort_by([("doc_id", "ascending"), ("at", "ascending"), ("x", "ascending")])
+    bags = [Bag(n.as_py(), np.frombuffer(at.as_buffer(), np.uint32), np.frombuffer(x.as_buffer(), np.float32)) for n, at, x in zip(found.column("n"), found.column("at"), found.column("x"), strict=True)]
     return fit(bags, np.array(found.column("label").to_pylist(), np.float32))
 
 

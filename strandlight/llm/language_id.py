@@ -21,8 +21,6 @@ from strandlight.llm.common import table
 
 #: Hash slots of trigrams. The model has SLOTS numbers a language.
 SLOTS = 1 << 16
-#: Most languages that are learned; the most frequent ones, so that the model's size is bounded.
-MAX_LANGUAGES = 256
 SMOOTH = 0.2
 UNDETERMINED = "und"
 
@@ -87,13 +85,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts cover all rows with a text and a language; each task sums its own rows first,
     so that what is shuffled is a bounded number of slots a task and language. At most
-    MAX_LANGUAGES * SLOTS sums come to the driver."""
+    SLOTS sums of each language come to the driver."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in known)
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     counts = np.zeros((SLOTS, len(languages)))
     if languages:
-        sums = rows.filter(F.col("lang").isin(languages)).mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+        sums = rows.mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
         place = {x: i for i, x in enumerate(languages)}
         counts[sums.column("slot").to_numpy(), [place[x.as_py()] for x in sums.column("lang")]] = sums.column("n").to_numpy()
     p = counts + SMOOTH

@@ -2,17 +2,16 @@
 
 Every input partition packs its own documents in one pass. Whole windows of a long
 document are closed at once; its rest goes, whole, to the fill level that keeps the sum
-of squared counts of partly filled windows smallest. When a partition ends, or holds
-too many open windows, the open windows' pieces are dealt again and cut at the window
-size, and a last short window is cut at powers of two, which need no padding.
+of squared counts of partly filled windows smallest. A window that is full but for a
+small gap leaves the levels and is topped up with the first tokens of the next document.
+When a partition ends, the emptiest open windows top up the fullest ones, and the last
+short window is cut at powers of two, so that nothing is padded.
 """
 
 from __future__ import annotations
 
-import re
-import sys
-from collections.abc import Callable, Iterable, Iterator
-from types import ModuleType
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,173 +19,129 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlight.llm.common import one_thread, table
+from strandlight.llm.common import table
+from strandlight.llm.word_bpe import WordIds
 
 WINDOW = 4096
 END_ID = 2
-#: Open windows a partition may hold; WINDOW * 4 bytes of ids each at most.
-MAX_OPEN = 1024
-#: Distinct words, and distinct stems, whose ids a worker remembers.
-MEMO_WORDS = 600_000
+#: Fill levels of a window, and the part of it that is a small gap.
+LEVELS, GAP = 64, 32
+#: Open windows of a partition, of at most WINDOW * 4 bytes of ids each. With more, the fullest is topped up next.
+MAX_OPEN = 256
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 Piece = tuple  # (doc, start, ids as little-endian uint32 bytes)
 
 
-class WordIds:
-    """Ids of a text from the ids of its words.
-
-    The vocabulary drops white space, and no token or normalisation crosses a space or a
-    line feed, so a text's ids are those of its parts between them. A word with a full
-    stop or comma is two tokens or more, split there, and the vocabulary is in lower
-    case; so the tokenizer sees each stem once. A stem of ASCII letters needs neither
-    its normalisation nor its splitting, and goes to its merges directly.
-    """
-
-    _cut = re.compile(r"[ \n]+")
-
-    def __init__(self, path: str) -> None:
-        one_thread()
-        from tokenizers import Tokenizer
-
-        self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.merges.normalizer = self.merges.pre_tokenizer = None
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {"": b""}
-        self._learn([".", ","])
-
-    @classmethod
-    def of_worker(cls, path: str) -> WordIds:
-        """The one that earlier tasks of this Python worker have left, or a new one."""
-        state = sys.modules.setdefault("strandlight_worker_state", ModuleType("strandlight_worker_state"))
-        if path not in state.__dict__:
-            state.__dict__[path] = cls(path)
-        return state.__dict__[path]
-
-    def _learn(self, stems: list[str]) -> None:
-        plain = [x for x in stems if x.isascii() and x.isalpha() and x.islower()]
-        known = set(plain)
-        rest = [x for x in stems if x not in known]
-        for tokenizer, group in ((self.merges, plain), (self.whole, rest)):
-            for x, e in zip(group, tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                self.stems[x] = np.array(e.ids, "<u4").tobytes()
-
-    def _add(self, words: list[str]) -> None:
-        """Put new words into the memo."""
-        parts = []
-        for w in words:
-            stem, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[:-1].isalpha() else (w, "")
-            if stem.isalpha():
-                stem = stem.lower() if stem.isascii() else stem[0].lower() + stem[1:] if stem[0].isascii() else stem
-            parts.append((w, stem, mark))
-        if len(self.stems) > MEMO_WORDS:
-            self.stems = {x: self.stems[x] for x in ("", ".", ",")}
-        if new := {stem for _, stem, _ in parts if stem not in self.stems}:
-            self._learn(list(new))
-        for w, stem, mark in parts:
-            self.words[w] = self.stems[stem] + self.stems[mark]
-
-    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = self._cut.split(text)
-            try:
-                yield b"".join(map(self.words.__getitem__, words))
-            except KeyError:
-                if len(self.words) > MEMO_WORDS:
-                    self.words.clear()
-                self._add(list({w for w in words if w not in self.words}))
-                yield b"".join(map(self.words.__getitem__, words))
-
-
 class Packer:
     """Windows by fill level; closed ones are handed to emit as lists of pieces."""
 
     def __init__(self, emit: Callable[[list[Piece]], None], window: int = WINDOW, max_open: int = MAX_OPEN) -> None:
         self.emit, self.window, self.max_open = emit, window, max_open
-        self.levels = np.zeros(window + 1, np.int64)  # open windows by fill
-        self.open: dict[int, list[list[Piece]]] = {}
+        self.step, self.nearly = max(1, window // LEVELS), window - max(1, window // GAP)
+        n = window // self.step + 1
+        self.levels = np.zeros(n, np.int64)  # open windows by level
+        self.top = np.zeros(n, np.int64)  # the fill of the window that is next of its level
+        self.open: list[list[tuple[int, list[Piece]]]] = [[] for _ in range(n)]
         self.n_open = 0
+        self.waiting: tuple[int, list[Piece]] | None = None  # the window that is topped up now
 
-    def level_for(self, size: int) -> int:
-        """The fill level (0: a new window) with the least growth of the sum of squares; the fullest of equals."""
+    def level_for(self, size: int) -> int | None:
+        """The level (None: a new window) with the least growth of the sum of squares; the fullest of equals."""
         n = self.levels
-        fills = np.flatnonzero(n[: self.window - size + 1])
-        if not len(fills):
-            return 0
-        to = fills + size
-        grow = 2 - 2 * n[fills] + np.where(to < self.window, 2 * n[to], -1)
+        own = 0 if size > self.nearly else 2 * int(n[size // self.step]) + 1
+        at = np.flatnonzero((n > 0) & (self.top + size <= self.window))
+        if not len(at):
+            return None
+        fill = self.top[at] + size
+        to = fill // self.step
+        grow = 1 - 2 * n[at] + np.where(fill > self.nearly, 0, 2 * n[to] + 1)
+        grow[to == at] = 0
         best = len(grow) - 1 - int(np.argmin(grow[::-1]))
-        return int(fills[best]) if grow[best] <= 2 * n[size] + 1 else 0
+        return int(at[best]) if grow[best] <= own else None
+
+    def _pop(self, level: int) -> tuple[int, list[Piece]]:
+        found = self.open[level].pop()
+        self.levels[level] -= 1
+        self.n_open -= 1
+        self.top[level] = self.open[level][-1][0] if self.open[level] else 0
+        return found
 
     def add(self, doc: object, ids: bytes) -> None:
         full = self.window * 4
         at = 0
+        if self.waiting:
+            fill, pieces = self.waiting
+            at = min(len(ids), full - fill * 4)
+            pieces.append((doc, 0, ids[:at]))
+            self._settle(fill + at // 4, pieces)
         while len(ids) - at >= full:
             self.emit([(doc, at // 4, ids[at : at + full])])
             at += full
         if at < len(ids):
-            self._place((doc, at // 4, ids[at:]))
-
-    def _place(self, piece: Piece) -> None:
-        size = len(piece[2]) // 4
-        fill = self.level_for(size)
-        if fill:
-            pieces = self.open[fill].pop()
-            self.levels[fill] -= 1
-            self.n_open -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
-        if fill + size == self.window:
+            size = (len(ids) - at) // 4
+            level = self.level_for(size)
+            fill, pieces = (0, []) if level is None else self._pop(level)
+            pieces.append((doc, at // 4, ids[at:]))
+            self._settle(fill + size, pieces)
+
+    def _settle(self, fill: int, pieces: list[Piece]) -> None:
+        """Close a window, have it wait for the next document, or keep it at its level."""
+        was_waiting, self.waiting = self.waiting is not None, None
+        if fill == self.window:
             self.emit(pieces)
-            return
-        self.open.setdefault(fill + size, []).append(pieces)
-        self.levels[fill + size] += 1
-        self.n_open += 1
-        if self.n_open > self.max_open:
-            self.drain(last=False)
-
-    def drain(self, last: bool = True) -> None:
-        """Deal the open windows' pieces again, cut at the window size. The short rest stays open, or at
-        the last is cut at powers of two."""
-        pieces = [p for fill in sorted(self.open, reverse=True) for window in self.open[fill] for p in window]
-        self.open, self.n_open = {}, 0
-        self.levels[:] = 0
-        held: list[Piece] = []
-        fill = 0
-        for doc, start, ids in pieces:
-            while ids:
-                part = ids[: (self.window - fill) * 4]
-                held.append((doc, start, part))
-                fill += len(part) // 4
-                start += len(part) // 4
-                ids = ids[len(part) :]
-                if fill == self.window:
-                    self.emit(held)
-                    held, fill = [], 0
-        if not held:
-            return
-        if not last:
-            self.open, self.n_open = {fill: [held]}, 1
-            self.levels[fill] = 1
-            return
-        while held:
-            size = 1 << (fill.bit_length() - 1)
-            now, room, rest = [], size, []
-            for doc, start, ids in held:
-                take = min(room, len(ids) // 4)
-                if take:
-                    now.append((doc, start, ids[: take * 4]))
-                    room -= take
-                if take * 4 < len(ids):
-                    rest.append((doc, start + take, ids[take * 4 :]))
-            self.emit(now)
-            held, fill = rest, fill - size
+        elif fill > self.nearly or was_waiting:
+            self.waiting = (fill, pieces)
+        else:
+            level = fill // self.step
+            self.open[level].append((fill, pieces))
+            self.levels[level] += 1
+            self.top[level] = fill
+            self.n_open += 1
+            if self.n_open > self.max_open:
+                self.waiting = self._pop(int(np.flatnonzero(self.levels)[-1]))
+
+    def finish(self) -> None:
+        """Top up the fullest open windows from the emptiest ones, and cut the last short one at powers of two."""
+        windows = deque(sorted((w for level in self.open for w in level), key=lambda w: w[0]))
+        if self.waiting:
+            windows.append(self.waiting)
+        self.open, self.n_open, self.waiting = [[] for _ in self.open], 0, None
+        self.levels[:], self.top[:] = 0, 0
+        while windows:
+            fill, pieces = windows.pop()
+            while fill < self.window and windows:
+                rest, giving = windows.popleft()
+                while giving and fill < self.window:
+                    doc, start, ids = giving.pop()
+                    take = min(self.window - fill, len(ids) // 4)
+                    pieces.append((doc, start, ids[: take * 4]))
+                    fill += take
+                    rest -= take
+                    if take * 4 < len(ids):
+                        giving.append((doc, start + take, ids[take * 4 :]))
+                if giving:
+                    windows.appendleft((rest, giving))
+            if fill == self.window:
+                self.emit(pieces)
+                continue
+            while pieces:
+                size = 1 << (fill.bit_length() - 1)
+                now, room, left = [], size, []
+                for doc, start, ids in pieces:
+                    take = min(room, len(ids) // 4)
+                    if take:
+                        now.append((doc, start, ids[: take * 4]))
+                        room -= take
+                    if take * 4 < len(ids):
+                        left.append((doc, start + take, ids[take * 4 :]))
+                self.emit(now)
+                pieces, fill = left, fill - size
 
 
 def _runner(path: str, window: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds.of_worker(path)
+        encode = WordIds(path)
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         out: list[list] = [[] for _ in range(7)]
@@ -216,7 +171,7 @@ def _runner(path: str, window: int, end_id: int) -> Callable[[Iterator[pa.Record
                 packer.add((doc, len(ids) // 4 + 1), ids + end)
                 if held > 8 << 20:
                     yield flush()
-        packer.drain()
+        packer.finish()
         yield flush()
 
     return run
@@ -230,7 +185,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     that none needs padding. Defined cases: a null or empty text is the end id alone;
     rows that repeat a doc_id are packed each for itself; a null doc_id stays null; an
     empty table packs to nothing. There is no shuffle, and a task keeps at most MAX_OPEN
-    open windows, whatever the number or length of its documents.
+    open windows, whatever the number or length of its documents: with more, the fullest
+    one is topped up with the next documents' first tokens, as a nearly full one is.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_runner(tokenizer_path, window, end_id), SCHEMA)

@@ -264,7 +264,7 @@ def test_packing_round_trip(spark):
 
 def test_sum_of_squares_level():
     p = packing.Packer(lambda pieces: None, window=10)
-    p.levels[[3, 6]] = [1, 2]
+    p.levels[[3, 6]], p.top[[3, 6]] = [1, 2], [3, 6]
     for size in range(1, 10):
         grow = {}
         for h in [0, *range(1, 11 - size)]:
@@ -276,13 +276,30 @@ def test_sum_of_squares_level():
             if h + size < 10:
                 n[h + size] += 1
             grow[h] = int((n[:10] ** 2).sum())
-        assert grow[p.level_for(size)] == min(grow.values())
+        assert grow[p.level_for(size) or 0] == min(grow.values())
     p = packing.Packer(lambda pieces: None, window=8, max_open=4)
     for k in range(500):
         p.add(k, bytes(4 * 5))
         assert p.n_open <= 5
 
 
+def test_few_windows_are_left_for_the_end():
+    r = np.random.default_rng(4)
+    closed, total = [], 0
+    p = packing.Packer(closed.append)
+    for k in range(8000):
+        n = int(min(80_000, r.lognormal(6.5, 1))) + 1
+        total += n
+        p.add(k, np.full(n, k, "<u4").tobytes())
+    before = len(closed)
+    p.finish()
+    assert len(closed) - before < 0.05 * len(closed)
+    sizes = [sum(len(x[2]) for x in w) // 4 for w in closed]
+    assert sum(sizes) == total and all(n == 4096 or n & (n - 1) == 0 for n in sizes)
+    for w in closed:
+        assert all(set(np.frombuffer(ids, "<u4")) == {doc} for doc, _, ids in w)
+
+
 def test_chat_trees_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<s>[user]\n", "\\", "\\l[", "", "a\nb</s>", "é\U0001f600]"]
     r = random.Random(10)

@@ -53,7 +53,7 @@ def seq_inverse_select(spark: SparkSession, d: str) -> DataFrame:
     return sq.ranks(_seq(spark, d))
 
 
-@query("seq_double_rank", SQL + " select q, lb, rb, qs.c, count_if(seq.i < lb)::bigint rank_lb, count_if(seq.i < rb)::bigint rank_rb from qs left join seq on seq.c = qs.c group by all")
+@query("seq_double_rank", SQL + " select q, lb, rb, qs.c, count(*) filter (where seq.i < lb)::bigint rank_lb, count(*) filter (where seq.i < rb)::bigint rank_rb from qs left join seq on seq.c = qs.c group by all")
 def seq_double_rank(spark: SparkSession, d: str) -> DataFrame:
     asks = _ranges(spark, d).select("q", "lb", "rb", "c")
     return sq.rank_at(_seq(spark, d), sq.rank_at(_seq(spark, d), asks, "lb", "rank_lb"), "rb", "rank_rb")
@@ -69,7 +69,7 @@ def seq_interval_symbols(spark: SparkSession, d: str) -> DataFrame:
     return sq.interval_symbols(_seq(spark, d), _ranges(spark, d).select("q", "lb", "rb"))
 
 
-@query("seq_lex_count", SQL + " select qs.q, count_if(sym < qs.c)::bigint smaller, count_if(sym > qs.c)::bigint greater, count_if(sym = qs.c)::bigint equal from qs left join met using (q) group by qs.q")
+@query("seq_lex_count", SQL + " select qs.q, count(*) filter (where sym < qs.c)::bigint smaller, count(*) filter (where sym > qs.c)::bigint greater, count(*) filter (where sym = qs.c)::bigint equal from qs left join met using (q) group by qs.q")
 def seq_lex_count(spark: SparkSession, d: str) -> DataFrame:
     return sq.lex_count(_seq(spark, d), _ranges(spark, d))
 
@@ -94,7 +94,7 @@ def seq_unique_values(spark: SparkSession, d: str) -> DataFrame:
     return sq.unique_values(_seq(spark, d), _ranges(spark, d), F.col("c"), F.col("c") + 20)
 
 
-@query("seq_range2d", SQL + " select qs.q, count_if(sym between qs.c and qs.c + 20)::bigint n from qs left join met using (q) group by qs.q")
+@query("seq_range2d", SQL + " select qs.q, count(*) filter (where sym between qs.c and qs.c + 20)::bigint n from qs left join met using (q) group by qs.q")
 def seq_range2d(spark: SparkSession, d: str) -> DataFrame:
     return sq.count_2d(_seq(spark, d), _ranges(spark, d), F.col("c"), F.col("c") + 20)
 

@@ -49,6 +49,15 @@ def run_pairs(bits: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.withColumn("pair", F.col("pair") - first).groupBy(*keys, "pair").agg(F.min("bit_pos").alias("start"), F.sum(1 - F.col("bit")).alias("zeros"), F.sum("bit").alias("ones"))
 
 
+def pairs_of_bits(bits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As run_pairs, from bit strings (keys, bits): a row for each pair, and none for each bit."""
+    each = bits.select(*keys, F.posexplode(F.regexp_extract_all("bits", F.lit("0*1+|0+"), F.lit(0))).alias("pair", "run"))
+    n = F.length("run").cast("long")
+    ones = F.length(F.replace("run", F.lit("0"), F.lit(""))).cast("long")
+    start = F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy("pair").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return each.select(*keys, F.col("pair").cast("long").alias("pair"), start.alias("start"), (n - ones).alias("zeros"), ones.alias("ones"))
+
+
 def split_patterns(bits: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
     """Blocks 0^i 1^j of at least that many bits."""
     return run_pairs(bits, keys).select(*keys, "start", (F.col("start") + F.col("zeros") + F.col("ones")).alias("end"), F.col("ones").alias("n_ones")).filter(F.col("end") - F.col("start") >= least)

@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Code points of texts that the automaton strategy takes; beyond it, `seed` is used.
 AUTOMATON_CHARS = 1_000_000
+#: Code points of a piece of a query, pieces that are read in step, code points of queries that are handled together, and
+#: entries of a table of states and symbols.
+PIECE, AT_ONCE, BATCH_CHARS, DENSE = 1024, 4096, 1 << 23, 1 << 23
 STRATEGIES = ("auto", "automaton", "seed", "prefix")
 
 
@@ -75,13 +79,129 @@ class SuffixAutomaton:
         return ms, freq
 
 
-def _matcher(texts: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class Matcher:
+    """The automaton in flat arrays, for many texts in step.
+
+    Texts are read backwards, so they are cut into pieces that begin some places further
+    on: a match that ends before the piece does is a match of the text. Where one does
+    not, the piece is read again from further away. A step moves all pieces by one code
+    point. With few states a table has, for each state and symbol, where the nearest
+    suffix state with that symbol leads and how long its own string is; with many, edges
+    are looked up and suffix links followed.
+    """
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        built = SuffixAutomaton(texts)
+        self.size = built.size
+        self.link, self.length, self.count = (np.array(x, t) for x, t in ((built.link, np.int32), (built.length, np.int32), (built.count, np.int64)))
+        edges = [(v, c, to) for v, out in enumerate(built.next) for c, to in out.items() if c >= 0]
+        state, symbol, to = (np.array(x, np.int64) for x in zip(*edges)) if edges else (np.empty(0, np.int64),) * 3
+        self.symbols = np.unique(symbol)  # code 0 is a symbol of no text
+        self.width = len(self.symbols) + 1
+        key = state * self.width + np.searchsorted(self.symbols, symbol) + 1
+        order = np.argsort(key)
+        self.key, self.to = np.append(key[order], np.iinfo(np.int64).max), np.append(to[order], 0).astype(np.int32)
+        self.table: tuple[np.ndarray, np.ndarray] | None = None
+
+    def prepare(self) -> None:
+        """Make the table, if it is small enough. It is not sent along with the arrays."""
+        n = len(self.link)
+        if n * self.width > DENSE or self.table:
+            return
+        lead, own = np.zeros((n, self.width), np.int32), np.full((n, self.width), -1, np.int32)
+        state, symbol = self.key[:-1] // self.width, self.key[:-1] % self.width
+        at = np.searchsorted(state, np.arange(n + 1))
+        for v in np.argsort(self.length, kind="stable").tolist():
+            if self.link[v] >= 0:
+                lead[v], own[v] = lead[self.link[v]], own[self.link[v]]
+            mine = slice(at[v], at[v + 1])
+            lead[v, symbol[mine]], own[v, symbol[mine]] = self.to[:-1][mine], self.length[v]
+        self.table = lead.ravel(), own.ravel()
+
+    def _step(self, state: np.ndarray, size: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.table:
+            at = state * self.width + c
+            return self.table[0][at], np.minimum(size, self.table[1][at]) + 1
+        state, size = state.copy(), size.copy()
+        left = np.arange(len(state))
+        while len(left):
+            key = state[left].astype(np.int64) * self.width + c[left]
+            at = np.searchsorted(self.key, key)
+            hit = self.key[at] == key
+            state[left[hit]] = self.to[at[hit]]
+            size[left[hit]] += 1
+            left = left[~hit]
+            root = state[left] == 0
+            size[left[root]] = 0
+            left = left[~root]
+            state[left] = self.link[state[left]]
+            size[left] = self.length[state[left]]
+        return state, size
+
+    def match(self, texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(lengths, occurrences) for each position of each text. An empty match occurs at every place and every end."""
+        self.prepare()
+        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        place = np.searchsorted(self.symbols, flat)
+        known = place < len(self.symbols)
+        known[known] = self.symbols[place[known]] == flat[known]
+        codes = np.where(known, place + 1, 0).astype(np.int32)
+        ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
+        begins = np.concatenate([[0], ends[:-1]])
+        n = -(-(ends - begins) // PIECE)
+        owner = np.repeat(np.arange(len(texts)), n)
+        start = begins[owner] + PIECE * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n))
+        stop, limit = np.minimum(start + PIECE, ends[owner]), ends[owner]
+        ms, freq = np.zeros(len(flat), np.int32), np.full(len(flat), self.size, np.int64)
+        ahead = PIECE // 4
+        while len(start):
+            far = []
+            for k in range(0, len(start), AT_ONCE):
+                part = slice(k, k + AT_ONCE)
+                far.append(self._pieces(codes, start[part], stop[part], np.minimum(stop[part] + ahead, limit[part]), limit[part], ms, freq))
+            again = np.concatenate(far)
+            start, stop, limit = start[again], stop[again], limit[again]
+            ahead *= 4
+        cut = lambda x: np.split(x, ends[:-1])
+        return list(zip(cut(ms), cut(freq), strict=True))
+
+    def _pieces(self, codes: np.ndarray, start: np.ndarray, stop: np.ndarray, begin: np.ndarray, limit: np.ndarray, ms: np.ndarray, freq: np.ndarray) -> np.ndarray:
+        """Fill ms and freq from stop down to start, read from begin on; gives the pieces that must begin further on."""
+        order = np.argsort(start - begin, kind="stable")  # the longest first
+        lo, hi, at = start[order], stop[order], begin[order].copy()
+        length = at - lo
+        state, size, touched = np.zeros(len(lo), np.int32), np.zeros(len(lo), np.int32), np.zeros(len(lo), bool)
+        live = len(lo)
+        for t in range(int(length[0]) if live else 0):
+            while length[live - 1] <= t:
+                live -= 1
+            at[:live] -= 1
+            state[:live], size[:live] = self._step(state[:live], size[:live], codes[at[:live]])
+            mine = np.flatnonzero(at[:live] < hi[:live])
+            where = at[mine]
+            ms[where] = size[mine]
+            some = size[mine] > 0
+            freq[where[some]] = self.count[state[mine[some]]]
+            freq[where[~some]] = self.size
+            touched[mine] |= size[mine] == t + 1  # the match reaches where the reading began
+        out = np.zeros(len(lo), bool)
+        out[order] = touched & (begin[order] < limit[order])
+        return out
+
+
+def _matching(matcher: Matcher) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = SuffixAutomaton(texts)
         for b in batches:
-            found = [automaton.match(x.as_py() or "") for x in b.column(b.num_columns - 1)]
-            columns = [*b.columns[:-1], pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-1], "ms", "freq"])
+            texts = b.column(b.num_columns - 1)
+            begin, held = 0, 0
+            for i in range(b.num_rows + 1):
+                if i == b.num_rows or held > BATCH_CHARS:
+                    found = matcher.match([x.as_py() or "" for x in texts[begin:i]])
+                    columns = [*(c[begin:i] for c in b.columns[:-1]), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-1], "ms", "freq"])
+                    begin, held = i, 0
+                if i < b.num_rows:
+                    held += len(texts[i].as_py() or "")
 
     return run
 
@@ -91,15 +211,22 @@ def _schema(df: DataFrame, keys: Sequence[str], rest: str) -> str:
 
 
 def ms_vectors(texts: DataFrame, queries: DataFrame, keys: Sequence[str], text_col: str = "text", query_col: str = "text") -> DataFrame:
-    """keys, ms (array<int>) and freq (array<long>) of each query, by an automaton of all texts in every worker.
+    """keys, ms (array<int>) and freq (array<long>) of each query, by an automaton of all texts that is built once.
 
-    The texts must have AUTOMATON_CHARS code points at most; `ms_build` looks first.
+    The texts must have AUTOMATON_CHARS code points at most: they come to the driver, and
+    the automaton goes to every worker. This is checked before.
     """
-    index = [r[0] for r in texts.select(text_col).filter(F.col(text_col).isNotNull()).distinct().orderBy(text_col).collect()]
-    times = texts.filter(F.col(text_col).isNotNull()).count()
-    if times != len(index):  # repeated texts count as often as they stand there
-        index = [r[0] for r in texts.select(text_col).filter(F.col(text_col).isNotNull()).orderBy(text_col).collect()]
-    return queries.select(*keys, F.col(query_col)).mapInArrow(_matcher(index), _schema(queries, keys, "ms array<int>, freq array<bigint>"))
+    size = _chars(texts, text_col)
+    if size > AUTOMATON_CHARS:
+        raise ValueError(f"the texts have {size} code points; an automaton takes {AUTOMATON_CHARS}")
+    known = texts.select(F.col(text_col).alias("t")).filter("t is not null").groupBy("t").count().collect()
+    index = [r[0] for r in sorted(known) for _ in range(r[1])]  # repeated texts count as often as they stand there
+    rows = queries.select(*keys, F.col(query_col).cast("string"))
+    return rows.mapInArrow(_matching(Matcher(index)), _schema(queries, keys, "ms array<int>, freq array<bigint>"))
+
+
+def _chars(texts: DataFrame, text_col: str) -> int:
+    return texts.agg(F.coalesce(F.sum(F.length(text_col) + 1), F.lit(0))).first()[0]
 
 
 def positions(df: DataFrame, keys: Sequence[str], text_col: str, k: int) -> DataFrame:
@@ -167,8 +294,7 @@ def ms_build(texts: DataFrame, queries: DataFrame, keys: Sequence[str] = ("query
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     if strategy == "auto":
-        size = texts.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
-        strategy = "automaton" if size <= AUTOMATON_CHARS else "seed"
+        strategy = "automaton" if _chars(texts, text_col) <= AUTOMATON_CHARS else "seed"
     if strategy == "prefix":
         return ms_prefix(texts, queries, keys, text_col, query_col)
     if strategy == "seed":
@@ -177,12 +303,42 @@ def ms_build(texts: DataFrame, queries: DataFrame, keys: Sequence[str] = ("query
     return vectors.select(*keys, F.posexplode("ms").alias("pos", "ms")).withColumn("pos", F.col("pos").cast("long"))
 
 
+def ms_arrays(texts: DataFrame, queries: DataFrame, keys: Sequence[str] = ("query_id",), text_col: str = "text", query_col: str = "text") -> DataFrame:
+    """keys, ms (array<int>): each query's vector in one row; queries without positions have none."""
+    if _chars(texts, text_col) <= AUTOMATON_CHARS:
+        return ms_vectors(texts, queries, keys, text_col, query_col).select(*keys, "ms").filter(F.size("ms") > 0)
+    rows = ms_seed(texts, queries, keys, text_col, query_col).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "ms"))).alias("x"))
+    return rows.select(*keys, F.transform("x", lambda x: x["ms"]).alias("ms"))
+
+
 def ms_frequency(texts: DataFrame, queries: DataFrame, keys: Sequence[str] = ("query_id",), text_col: str = "text", query_col: str = "text") -> DataFrame:
-    """keys, pos, ms, freq: also how often each match occurs. An empty match occurs before every code point and at every end."""
+    """keys, pos, ms, freq: also how often each match occurs. An empty match occurs before every code point and at every end.
+
+    With more than AUTOMATON_CHARS code points of texts, the matches come from seeds and
+    their occurrences are counted by joins.
+    """
+    size = _chars(texts, text_col)
+    if size > AUTOMATON_CHARS:
+        return _joined_frequency(texts, queries, keys, text_col, query_col, size)
     vectors = ms_vectors(texts, queries, keys, text_col, query_col)
     return vectors.select(*keys, F.posexplode(F.arrays_zip("ms", "freq")).alias("pos", "x")).select(*keys, F.col("pos").cast("long").alias("pos"), "x.ms", "x.freq")
 
 
+def _joined_frequency(texts: DataFrame, queries: DataFrame, keys: Sequence[str], text_col: str, query_col: str, size: int, seed: int = 12) -> DataFrame:
+    ms = ms_seed(texts, queries, keys, text_col, query_col, seed)
+    q = queries.select(*keys, F.col(query_col).alias("__q")).filter("__q is not null")
+    matched = ms.join(q, list(keys)).select(*keys, "pos", "ms", F.col("__q").substr((F.col("pos") + 1).cast("int"), F.col("ms")).alias("w"))
+    asked = matched.filter("ms > 0").select("w").distinct().withColumn("head", F.col("w").substr(1, seed))
+    t = texts.select(F.col(text_col).alias("t")).filter("t is not null").select(F.monotonically_increasing_id().alias("id"), "t")
+    grams = positions(t, ["id"], "t", seed)
+    short = grams.select("gram", F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("n")).select(F.col("gram").substr(F.lit(1), F.col("n")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("freq"))
+    some = asked.filter(F.length("w") <= seed).select("w").join(short, "w")
+    places = asked.filter(F.length("w") > seed).join(grams, F.col("head") == F.col("gram")).select("w", "id", F.col("pos").alias("at"))
+    held = places.join(t, "id").filter(F.col("t").substr((F.col("at") + 1).cast("int"), F.length("w")) == F.col("w"))
+    counts = some.unionByName(held.groupBy("w").agg(F.count(F.lit(1)).alias("freq")))
+    return matched.join(counts, "w", "left").select(*keys, "pos", "ms", F.when(F.col("ms") == 0, F.lit(size).cast("long")).otherwise(F.col("freq")).alias("freq"))
+
+
 def ms_pairs(texts: DataFrame, queries: DataFrame) -> DataFrame:
     """text_id, query_id, pos, ms of every text (text_id, s) with every query (query_id, t).
 

@@ -93,8 +93,9 @@ def _whole_blocks(ranges: DataFrame, block: int) -> DataFrame:
     return ranges.withColumns({"__lo": F.ceil(F.greatest(F.col("from_idx"), F.lit(0)) / block), "__hi": F.floor(F.col("to_idx") / block)})
 
 
-def range_max_indexed(ms: DataFrame, ranges: DataFrame, keys: Sequence[str], block: int = 4) -> DataFrame:
-    """Head and tail by a scan of less than a block each, whole blocks by a sparse table over the block index.
+def range_max_indexed(ms: DataFrame, ranges: DataFrame, keys: Sequence[str], block: int = 4, index: DataFrame | None = None) -> DataFrame:
+    """Head and tail by a scan of less than a block each, whole blocks by a sparse table over the block index
+    (made here if none is given).
 
     Level k of the table holds the best of 2^k blocks; two overlapping entries answer a
     range, so the lookups are equality joins whatever the range's length.
@@ -105,7 +106,7 @@ def range_max_indexed(ms: DataFrame, ranges: DataFrame, keys: Sequence[str], blo
     edge = cut.select(*ids, F.explode(F.when(F.col("__lo") < F.col("__hi"), F.array(F.struct(F.col("from_idx").alias("a"), (F.col("__lo") * block).alias("z")), F.struct((F.col("__hi") * block).alias("a"), F.col("to_idx").alias("z")))).otherwise(F.array(F.struct(F.col("from_idx").alias("a"), F.col("to_idx").alias("z"))))).alias("e"))
     edges = edge.select(*keys, F.col("range_id"), F.greatest(F.col("e.a"), F.lit(0)).alias("from_idx"), F.col("e.z").alias("to_idx")).filter("to_idx > from_idx")
     scans = _within(ms, edges, keys).select(*ids, "ms", "pos")
-    level = block_index(ms, keys, block).select(*keys, "block", F.struct("ms", (-F.col("pos")).alias("neg")).alias("best"))
+    level = (block_index(ms, keys, block) if index is None else index).select(*keys, "block", F.struct("ms", (-F.col("pos")).alias("neg")).alias("best"))
     w = Window.partitionBy(*keys).orderBy("block")
     widest = cut.agg(F.max(F.col("__hi") - F.col("__lo"))).first()[0] or 0
     columns = {"b0": F.col("best")}

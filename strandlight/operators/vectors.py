@@ -28,6 +28,13 @@ def encode(ms: DataFrame, keys: Sequence[str]) -> DataFrame:
     return whole.select(*keys, F.concat(F.array_join(F.transform("x", lambda x: x["code"]), ""), pad).alias("bits"))
 
 
+def encode_arrays(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, bits from keys, ms (array): the same form, without a row for each position."""
+    code = lambda x, i: F.concat(F.repeat(F.lit("0"), x + 1 - F.when(i == 0, 1).otherwise(F.get("ms", i - 1))), F.lit("1"))
+    pad = F.when(F.element_at("ms", -1) == 0, F.lit("0")).otherwise(F.lit(""))
+    return vectors.filter(F.size("ms") > 0).select(*keys, F.concat(F.array_join(F.transform("ms", code), ""), pad).alias("bits"))
+
+
 def bit_rows(bits: DataFrame, keys: Sequence[str], bits_col: str = "bits") -> DataFrame:
     """keys, bit_pos, bit."""
     return bits.select(*keys, F.posexplode_outer(F.split(bits_col, "")).alias("bit_pos", "bit")).filter("bit in ('0', '1')").select(*keys, F.col("bit_pos").cast("long").alias("bit_pos"), F.col("bit").cast("int").alias("bit"))
@@ -55,10 +62,10 @@ def average(ms: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ms.groupBy(*keys).agg(F.avg("ms").alias("avg_ms"))
 
 
-def composition(ms: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, n_bits, n_zeros, n_ones of the bit form, from the values alone: both halves have one bit a position."""
-    n = F.count(F.lit(1)).cast("long")
-    return ms.groupBy(*keys).agg((2 * n).alias("n_bits"), n.alias("n_zeros"), n.alias("n_ones"))
+def composition(bits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, n_bits, n_zeros, n_ones, counted in the bits themselves."""
+    size, ones = F.length("bits").cast("long"), F.length(F.replace("bits", F.lit("0"), F.lit(""))).cast("long")
+    return bits.select(*keys, size.alias("n_bits"), (size - ones).alias("n_zeros"), ones.alias("n_ones"))
 
 
 def extremes(ms: DataFrame, keys: Sequence[str], bound: int) -> DataFrame:

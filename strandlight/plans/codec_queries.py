@@ -29,7 +29,7 @@ _PROJECT = "case when ones < zeros then 2 * (zeros - ones) when ones < 2 * zeros
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.run_pairs(_bit_rows(spark, d), KEYS)
+    return blocks.pairs_of_bits(_bits(spark, d), KEYS)
 
 
 @query("codec_rle", PAIRS + f" select conv_id, turn, sum({_delta('zeros + 1')} + {_delta('ones')})::bigint n_bits from pairs where ones > 0 group by all")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlight.operators import blocks, matching, ranges, vectors
 from strandlight.plans.registry import query, read
+from strandlight.sources import stored
 
 KEYS = ["conv_id", "turn"]
 
@@ -51,7 +54,7 @@ def _freq(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bits(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.encode(_ms(spark, d), KEYS)
+    return vectors.encode_arrays(matching.ms_arrays(read(spark, d, "benchmark"), read(spark, d, "conversations"), KEYS), KEYS)
 
 
 def _bit_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +148,7 @@ def ms_avg(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ms_composition", CODE + " select conv_id, turn, count(*) n_bits, sum(1 - bit)::bigint n_zeros, sum(bit)::bigint n_ones from b group by all")
 def ms_composition(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.composition(_ms(spark, d), KEYS)
+    return vectors.composition(_bits(spark, d), KEYS)
 
 
 @query("ms_extremes", MS + " select conv_id, turn, max(ms) max_ms, bool_or(ms <= 3) some_at_most from ms group by all")
@@ -201,7 +204,10 @@ def _ranges(spark: SparkSession, d: str) -> DataFrame:
 
 def _range_query(op: str, algorithm: str, block: int):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        out = ranges.answer(_ms(spark, d), _ranges(spark, d), KEYS, op, algorithm, block)
+        ms = _ms(spark, d)
+        if block:  # the vector is read several times
+            ms = stored.store(ms, f"{stored.shared_folder(spark)}/ms-{uuid.uuid4().hex}", [*KEYS, "pos"])
+        out = ranges.answer(ms, _ranges(spark, d), KEYS, op, algorithm, block)
         return out.withColumn("max_value", F.col("max_value").cast("long")) if op == "max" else out
 
     return run
@@ -248,7 +254,7 @@ pairs as (
 
 @query("run_pairs", PAIRS + " select * from pairs")
 def run_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.run_pairs(_bit_rows(spark, d), KEYS)
+    return blocks.pairs_of_bits(_bits(spark, d), KEYS)
 
 
 @query("split_patterns", PAIRS + " select conv_id, turn, start, start + zeros + ones as \"end\", ones n_ones from pairs where zeros + ones >= 8")

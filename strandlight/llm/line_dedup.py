@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlight.llm.common import BROADCAST_ROWS, SPACE, cut, row_key, table
+from strandlight.llm.common import BROADCAST_ROWS, SPACE, broadcast_if_small, cut, fresh, row_key, table
 
 MIN_WORDS = 50
 #: Ranks in one group of a cumulative sum; a group with more is summed in two levels.
@@ -114,8 +114,8 @@ def later_copies(positions: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     split = runs.filter(F.expr("depth <> shiftleft(1, k)"))
     split = split.join(tails, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")) & (F.expr("at + depth - shiftleft(1, k)") == F.col("t"))).select("k1", "k2", "at", "depth", "head", tail_rank.alias("tail"))
     named = cut(whole.unionAll(split))
-    intervals = named.groupBy("depth", "head", "tail").agg(F.min(F.struct("k1", "k2", "at")).alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    copies = named.join(intervals, ["depth", "head", "tail"]).filter(F.struct("k1", "k2", "at") != F.col("original"))
+    intervals = cut(named.groupBy("depth", "head", "tail").agg(F.min(F.struct("k1", "k2", "at")).alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    copies = named.join(broadcast_if_small(intervals), ["depth", "head", "tail"]).filter(F.struct("k1", "k2", "at") != F.col("original"))
     doc = Window.partitionBy("k1", "k2").orderBy("at")
     end = F.col("at") + F.col("depth") - 1
     seen = copies.groupBy("k1", "k2", "at").agg(F.max(end).alias("end")).withColumn("until", F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1)))
@@ -151,15 +151,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = rest.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).filter("text is not null")
     deletions = _deletions(later_copies(cut(line_positions(keyed)), min_words))
     size = deletions.agg(F.sum(F.size("stay"))).first()[0] or 0
-    found = deletions.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "runs": "__runs", "stay": "__stay"})
+    n1, n2, n_runs, n_stay = fresh(docs, "k1", "k2", "runs", "stay")
+    found = deletions.withColumnsRenamed({"k1": n1, "k2": n2, "runs": n_runs, "stay": n_stay})
     if size <= 8 * BROADCAST_ROWS:  # a byte a line
         found = F.broadcast(found)
     k1, k2 = row_key(id_col, text_col)
-    joined = rest.join(found, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left")
-    text = F.array_join(F.filter(F.split(text_col, _BREAK, -1), lambda x, i: F.coalesce(F.get("__stay", i), F.lit(True))), "\n")
-    n = F.coalesce(F.aggregate("__runs", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"] + 1), F.lit(0).cast("long"))
-    runs = F.coalesce(F.transform("__runs", lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"))), F.array().cast("array<struct<first:int,last:int>>"))
-    new = F.when(F.col("__stay").isNull(), F.col(text_col)).otherwise(text)
+    joined = rest.join(found, (k1 == F.col(n1)) & (k2 == F.col(n2)), "left")
+    text = F.array_join(F.filter(F.split(text_col, _BREAK, -1), lambda x, i: F.coalesce(F.get(n_stay, i), F.lit(True))), "\n")
+    n = F.coalesce(F.aggregate(n_runs, F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"] + 1), F.lit(0).cast("long"))
+    runs = F.coalesce(F.transform(n_runs, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"))), F.array().cast("array<struct<first:int,last:int>>"))
+    new = F.when(F.col(n_stay).isNull(), F.col(text_col)).otherwise(text)
     return joined.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in rest.columns), n.alias("deleted_lines"), runs.alias("deleted_runs"))
 
 
@@ -186,11 +187,13 @@ t as (
   select doc_id, (wl + padded::int) as pos, line, w,
          sum(w) over (partition by doc_id order by no) - w p
   from n where has),
-run as (
-  select a.doc_id, a.pos, min(z.pos) as fin
+long as (
+  select a.doc_id, a.pos as pos, z.pos as fin
   from t a join t z on z.doc_id = a.doc_id and z.pos between a.pos and a.pos + {MIN_WORDS - 1}
-                   and z.p + z.w - a.p >= {MIN_WORDS}
-  group by all),
+                   and z.p + z.w - a.p >= {MIN_WORDS}),
+run as (
+  select doc_id, pos, min(fin) as fin from long group by doc_id, pos
+  union select doc_id, max(pos) as pos, fin from long group by doc_id, fin),
 keyed as (
   select r.doc_id, r.pos, r.fin, md5(string_agg(t.line, chr(10) order by t.pos)) k
   from run r join t on t.doc_id = r.doc_id and t.pos between r.pos and r.fin group by all),

@@ -148,15 +148,16 @@ def lines_brute(texts, least):
     for i, blocks in split.items():
         n = len(blocks)
         for p in range(n):
-            total, q = 0, p
-            while q < n and total < least and WORD.search(blocks[q][0]):
+            total = 0
+            for q in range(p, n):  # every run from here, however long
+                if not WORD.search(blocks[q][0]):
+                    break
                 total += len(WORD.findall(blocks[q][0]))
-                q += 1
-            if total >= least:
-                key = tuple(b[0] for b in blocks[p:q])
-                if key in seen:
-                    gone[i] |= set(range(p, q))
-                seen.add(key)
+                if total >= least:
+                    key = tuple(b[0] for b in blocks[p : q + 1])
+                    if key in seen:
+                        gone[i] |= set(range(p, q + 1))
+                    seen.add(key)
     return {i: "\n".join(x for k, b in enumerate(blocks) if k not in gone[i] for x in b) for i, blocks in split.items()}
 
 

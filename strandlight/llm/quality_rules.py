@@ -61,9 +61,9 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", host_col: str = "so
 
 
 def with_rules(counts: DataFrame) -> DataFrame:
-    """base_failed (the document's own verdict) and junk (what counts against its host)."""
+    """base_failed (the document's own verdict) and junk (a failure of any rule, which counts against its host)."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    junk = (100 * F.col("n_repeat_words") > 50 * F.col("n_words")) | (10 * F.col("n_symbols") > F.col("word_chars"))
+    junk = base | (10 * F.col("n_symbols") > F.col("word_chars"))
     return counts.withColumns({"base_failed": base, "junk": junk})
 
 
@@ -128,7 +128,7 @@ m as (
   from w left join lin using (r) left join cov using (r)),
 f as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
-         (100 * n_repeat_words > 50 * n_words or 10 * n_symbols > word_chars)::int junk from m),
+         (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > word_chars)::int junk from m),
 h as (select host, count(*)::double n, sum(junk)::double k from f where host is not null group by host),
 a as (select count(*) nh, sum(k) / sum(n) p, sum(n) tot, sum(k * k / n) sq, sum(n * n) nsq from h),
 s as (select nh, p, (sq - tot * p * p - (nh - 1) * p * (1 - p)) / nullif(tot - nsq / tot, 0) v from a),

@@ -7,10 +7,12 @@ entries that were active when the page was fetched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlight.llm.common import broadcast_if_small, cut, row_key, table
+from strandlight.llm.common import broadcast_if_small, cut, fresh, row_key, table
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -30,23 +32,38 @@ def intervals(entries: DataFrame) -> DataFrame:
 def url_parts(url: Column) -> tuple[Column, Column]:
     """(host in lower case without user, port and trailing dot; path segments). Without a scheme, the host is empty."""
     rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)", 1)
-    host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^(?:[^/@]*@)?([^/:@]*)", 1)), r"\.+$", "")
+    host = F.rtrim(F.lower(F.regexp_extract(rest, r"^(?:[^/@]*@)?([^/:@]*)", 1)), F.lit("."))
     return host, F.filter(F.split(F.regexp_extract(rest, r"^[^/]*/(.*)$", 1), "/"), lambda x: x != "")
 
 
-def url_keys(host: str, segments: str) -> Column:
-    """`d:` and each domain of the host, `p:` and the host with each prefix of the path."""
+def listed_depths(entries: DataFrame) -> tuple[list[int], list[int]]:
+    """(numbers of labels of the listed domains, numbers of segments of the listed paths): all that URLs are asked for."""
+    kind = F.substring("entry", 1, 2)
+    depth = F.when(kind == "d:", F.size(F.split("entry", r"\."))).when(kind == "p:", F.size(F.split("entry", "/")) - 1)
+    found = [tuple(x) for x in entries.select(kind, depth).filter(depth.isNotNull()).distinct().collect()]
+    return tuple(sorted(d for k, d in found if k == which) for which in ("d:", "p:"))
+
+
+def url_keys(host: str, segments: str, domains: list[int], paths: list[int]) -> Column:
+    """`d:` and each domain of the host, `p:` and the host with each prefix of the path, of the given depths."""
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    paths = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat(F.lit("p:"), F.col(host), F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")))
     none = F.array().cast("array<string>")
-    return F.when(F.length(host) == 0, none).otherwise(F.concat(domains, F.when(F.size(segments) > 0, paths).otherwise(none)))
+
+    def of(parts: Column, depths: list[int], key: Callable[[Column], Column]) -> Column:
+        if not depths:
+            return none
+        return F.transform(F.filter(F.array(*map(F.lit, depths)), lambda k: (k > 0) & (k <= F.size(parts))), key)
+
+    named = of(labels, domains, lambda k: F.concat(F.lit("d:"), F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")))
+    under = of(F.col(segments), paths, lambda k: F.concat(F.lit("p:"), F.col(host), F.lit("/"), F.array_join(F.slice(F.col(segments), F.lit(1), k), "/")))
+    return F.when(F.length(host) == 0, none).otherwise(F.concat(named, under))
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", fetched_col: str = "fetched_on") -> DataFrame:
     """captures with host, active (the sorted entries that held at the fetch) and blocked.
 
-    Each side is dealt by key and month, so that an entry with a long history, or a host
+    A URL gives only keys as deep as some entry of the list, so that its keys grow with
+    its length and the list's depths alone. Each side is dealt by key and month, so that an entry with a long history, or a host
     with very many captures, meets only what a month of it can match; the adaptive join
     splits months that are still too large, and the list is broadcast while it is small.
     Defined cases: a null URL, one without scheme or host, and a null fetch date match
@@ -58,16 +75,17 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     k1, k2 = row_key(id_col, url_col)
     day = F.col(fetched_col).cast("date")
     month = lambda d: F.year(d) * 12 + F.month(d)
-    keyed = rest.select(k1, k2, day.alias("day"), host.alias("__host"), segments.alias("__segments")).filter("day is not null and __host <> ''")
+    keyed = rest.select(k1, k2, day.alias("day"), host.alias("host"), segments.alias("segments")).filter("day is not null and host <> ''")
     span = keyed.agg(F.min("day").alias("first"), F.max("day").alias("last"))
     held = intervals(entries).join(F.broadcast(span), (F.col("since") <= F.col("last")) & (F.col("until").isNull() | (F.col("until") > F.col("first"))))
     a, z = F.greatest("since", "first"), F.least(F.coalesce(F.date_sub("until", 1), F.col("last")), F.col("last"))
     listed = cut(held.select("entry", "since", "until", F.explode(F.sequence(month(a), month(z))).alias("l_month")))
-    probes = keyed.select("k1", "k2", "day", month(F.col("day")).alias("month"), F.explode(url_keys("__host", "__segments")).alias("key")).distinct()
+    probes = keyed.select("k1", "k2", "day", month(F.col("day")).alias("month"), F.explode(url_keys("host", "segments", *listed_depths(listed))).alias("key")).distinct()
     met = probes.join(broadcast_if_small(listed), (F.col("key") == F.col("entry")) & (F.col("month") == F.col("l_month")) & (F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
-    active = cut(met.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("day").alias("__day")).agg(F.array_sort(F.collect_set("key")).alias("active")))
-    joined = rest.join(broadcast_if_small(active), (k1 == F.col("__k1")) & (k2 == F.col("__k2")) & (day == F.col("__day")), "left")
-    found = F.coalesce("active", F.array().cast("array<string>"))
+    n1, n2, n_day, n_active = fresh(rest, "k1", "k2", "day", "active")
+    active = cut(met.groupBy(F.col("k1").alias(n1), F.col("k2").alias(n2), F.col("day").alias(n_day)).agg(F.array_sort(F.collect_set("key")).alias(n_active)))
+    joined = rest.join(broadcast_if_small(active), (k1 == F.col(n1)) & (k2 == F.col(n2)) & (day == F.col(n_day)), "left")
+    found = F.coalesce(n_active, F.array().cast("array<string>"))
     return joined.select(*(F.col(f"`{c}`") for c in rest.columns), F.coalesce(host, F.lit("")).alias("host"), found.alias("active"), (F.size(found) > 0).alias("blocked"))
 
 

@@ -22,6 +22,8 @@ from strandlight.llm.common import table
 #: Hash slots of trigrams. The model has SLOTS numbers a language.
 SLOTS = 1 << 16
 SMOOTH = 0.2
+#: Numbers of a text (words x languages) that are held at a time.
+BLOCK = 1 << 21
 UNDETERMINED = "und"
 
 
@@ -82,49 +84,87 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "slot", "n"])
 
 
+def _dense(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    n = np.zeros(SLOTS, np.int64)
+    n[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "n": pa.array([n.tobytes()], pa.binary())})
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts cover all rows with a text and a language; each task sums its own rows first,
-    so that what is shuffled is a bounded number of slots a task and language. At most
-    SLOTS sums of each language come to the driver."""
+    so that what is shuffled is a bounded number of slots a task and language. One row of
+    SLOTS sums for each language comes to the driver."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    counts = np.zeros((SLOTS, len(languages)))
-    if languages:
-        sums = rows.mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
-        place = {x: i for i, x in enumerate(languages)}
-        counts[sums.column("slot").to_numpy(), [place[x.as_py()] for x in sums.column("lang")]] = sums.column("n").to_numpy()
-    p = counts + SMOOTH
-    return Model(languages, np.log(p / p.sum(axis=0, keepdims=True)).astype(np.float32))
-
-
-def _em(e: np.ndarray, steps: int = 25) -> tuple[np.ndarray, float]:
-    """(proportions, log-likelihood) for scaled word likelihoods e (words x languages)."""
-    pi = np.full(e.shape[1], 1 / e.shape[1])
-    for _ in range(steps if e.shape[1] > 1 else 0):
-        new = pi * (e.T @ (1 / (e @ pi))) / len(e)
+    sums = rows.mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    of_lang = {r.lang: np.frombuffer(bytes(r.n), np.int64) for r in sums.groupBy("lang").applyInArrow(_dense, "lang string, n binary").collect()}
+    languages = sorted({r.lang for r in rows.select("lang").distinct().collect()})
+    log_p = np.empty((SLOTS, len(languages)), np.float32)
+    for k, lang in enumerate(languages):  # a language without a trigram has the same chance for all
+        p = of_lang.pop(lang, 0) + np.full(SLOTS, SMOOTH)
+        log_p[:, k] = np.log(p / p.sum())
+    return Model(languages, log_p)
+
+
+def _word_blocks(model: Model, slots: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    """Word likelihoods (words x languages), each word's best 1, for blocks of words of at most about BLOCK numbers."""
+    wide = max(1, BLOCK // len(model.languages))
+    ends = np.append(starts[1:], len(slots))
+    for w in range(0, len(starts), wide):
+        a, z = starts[w : w + wide], ends[w : w + wide]
+        ll = np.zeros((len(a), len(model.languages)))
+        for g in range(int(a[0]), int(z[-1]), wide):  # trigrams, also those of one very long word, in slices
+            stop = min(g + wide, int(z[-1]))
+            first, last = int(np.searchsorted(z, g, "right")), int(np.searchsorted(a, stop, "left"))
+            ll[first:last] += np.add.reduceat(model.log_p[slots[g:stop]], np.maximum(a[first:last] - g, 0), axis=0)
+        yield np.exp(np.maximum(ll - ll.max(axis=1, keepdims=True), -60.0))
+
+
+class _Words:
+    """The word likelihoods of a text, kept if they are one block and made again each time if not."""
+
+    def __init__(self, model: Model, slots: np.ndarray, starts: np.ndarray) -> None:
+        self.n = len(starts)
+        self.again = lambda: _word_blocks(model, slots, starts)
+        self.one = list(self.again()) if self.n * len(model.languages) <= BLOCK else None
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return iter(self.one) if self.one is not None else self.again()
+
+
+def _em(words: _Words, use: np.ndarray, steps: int = 25) -> tuple[np.ndarray, float]:
+    """(proportions, log-likelihood) for scaled word likelihoods of the languages in use."""
+    pi = np.full(len(use), 1 / len(use))
+    for _ in range(steps if len(use) > 1 else 0):
+        new = np.zeros(len(use))
+        for e in words:
+            e = e[:, use]
+            new += e.T @ (1 / (e @ pi))
+        new *= pi / words.n
         done = np.abs(new - pi).max() < 1e-3
         pi = new
         if done:
             break
-    return pi, float(np.log(np.maximum(e @ pi, 1e-300)).sum())
+    return pi, float(sum(np.log(np.maximum(e[:, use] @ pi, 1e-300)).sum() for e in words))
 
 
 def mixture(model: Model, text: str | None) -> tuple[str, float, dict[str, float]]:
-    """(language with the largest share, its share, the shares of the chosen set)."""
+    """(language with the largest share, its share, the shares of the chosen set).
+
+    Of equal shares the first language by name counts. Without letters or languages there
+    is no share.
+    """
     slots, starts = grams(text or "")
     if not len(slots) or not model.languages:
         return UNDETERMINED, 0.0, {}
-    ll = np.add.reduceat(model.log_p[slots], starts, axis=0).astype(np.float64)
-    best = ll.max(axis=1, keepdims=True)
-    e = np.exp(np.maximum(ll - best, -60.0))
-    pi, _ = _em(e)
+    words = _Words(model, slots, starts)
+    pi, _ = _em(words, np.arange(len(model.languages)))
     order = np.argsort(-pi, kind="stable")
-    chosen, shares, value = order[:1], np.ones(1), float(np.log(e[:, order[0]]).sum())
+    chosen, shares, value = order[:1], np.ones(1), _em(words, order[:1])[1]
     for k in range(2, len(order) + 1):
         if pi[order[k - 1]] < 0.01:
             break
-        part, fit = _em(e[:, order[:k]])
-        new = fit - 0.5 * (k - 1) * np.log(len(e))
+        part, fit = _em(words, order[:k])
+        new = fit - 0.5 * (k - 1) * np.log(words.n)
         if new <= value + 1e-9:
             break
         chosen, shares, value = order[:k], part, new

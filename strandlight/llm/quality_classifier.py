@@ -35,7 +35,7 @@ def _kinds() -> np.ndarray:
     """A class for each code point: 0 space, 1 lower, 2 upper, 3 digit, 4 symbol, 5 sentence end, 6 other mark, 7 rest."""
     if "kinds" not in _TABLES:
         out = np.full(0x110000, 7, np.uint8)
-        for c in range(0x3000):
+        for c in range(0x3001):  # up to the last space
             x = chr(c)
             out[c] = 0 if x.isspace() else 1 if x.islower() else 2 if x.isupper() else 3 if x.isdigit() else 4 if x in _SYMBOLS else 5 if x in _ENDS else 6 if x in _MARKS else 7
         _TABLES["kinds"] = out

@@ -10,11 +10,12 @@ similarity of their shingle sets.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlight.llm.common import broadcast_if_small, cut, row_key, table
+from strandlight.llm.common import broadcast_if_small, cut, fresh, row_key, table
 
 WIDTH = 5
 MIN_SIMILARITY = 0.8
@@ -22,6 +23,8 @@ MIN_SIMILARITY = 0.8
 #: one such pair in several thousand is beyond 20.
 RADIUS = 20
 BITS = 64
+#: Shingles whose windows are handled together; a longer text is dealt out in segments of so many.
+SEGMENT = 4096
 
 
 def _words(text: Column) -> Column:
@@ -43,10 +46,22 @@ def _fingerprint(hashes: str) -> Column:
     return F.expr(f"aggregate(sequence(0, {BITS - 1}), 0L, (f, b) -> f | if(aggregate({hashes}, 0, (s, x) -> s + if(getbit(x, b) = 1, 1, -1)) > 0, shiftleft(1L, b), 0L))")
 
 
-def _blocks(fingerprint: str, radius: int) -> Column:
-    """Number and bits of each of radius + 1 blocks."""
+def _bounds(radius: int) -> list[tuple[int, int, int]]:
+    """Number, first and last bit (exclusive) of each of radius + 1 blocks."""
     at = [BITS * k // (radius + 1) for k in range(radius + 2)]
-    return F.array(*(F.struct(F.lit(k).alias("no"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("bits")) for k, (a, z) in enumerate(zip(at, at[1:], strict=False))))
+    return [(k, a, z) for k, (a, z) in enumerate(zip(at, at[1:], strict=False))]
+
+
+def _blocks(fingerprint: str, radius: int) -> Column:
+    """Number and bits of each block."""
+    return F.array(*(F.struct(F.lit(k).alias("no"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("bits")) for k, a, z in _bounds(radius)))
+
+
+def _agrees_before(apart: Column, no: Column, radius: int) -> Column:
+    """Whether two fingerprints, given by the bits in which they differ, agree in a block before block no."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    same = [(no > k) & (apart.bitwiseAND(F.lit(signed((1 << z) - (1 << a)))) == 0) for k, a, z in _bounds(radius)]
+    return reduce(lambda x, y: x | y, same)
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, float]:
@@ -86,18 +101,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     size = F.greatest(F.lit(1), F.col("place.n_words") - width + 1)  # in shingles
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("place.o"), F.col("n") - size))
     windows = place.select("k1", "k2", start.alias("start"), F.col("place.n_words").alias("n_words")).distinct()
-    by_doc = cut(windows.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n_words")).alias("windows")))
-    texts = keyed.select("k1", "k2", "doc_id", "text").join(broadcast_if_small(by_doc), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    with_hashes = texts.select("k1", "k2", "doc_id", "windows", _words(F.col("text")).alias("words")).select("k1", "k2", "doc_id", "windows", _hashes("words", width).alias("hashes"))
-    cuts = F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["n_words"].alias("n_words"), F.slice("hashes", x["start"] + 1, F.greatest(F.lit(1), x["n_words"] - width + 1)).alias("sh")))
-    one = with_hashes.select("k1", "k2", "doc_id", F.explode_outer(F.when(F.size("hashes") > 0, cuts)).alias("x")).filter("x is not null").select("k1", "k2", "doc_id", "x.start", "x.n_words", "x.sh")
+    longest = items.agg(F.max("n_words")).first()[0] or 0
+    part = F.floor(F.col("start") / SEGMENT).cast("int")
+    by_part = cut(windows.groupBy("k1", "k2", part.alias("part")).agg(F.collect_list(F.struct("start", "n_words")).alias("windows")))
+    hit = cut(by_part.select("k1", "k2").distinct())
+    texts = keyed.select("k1", "k2", "doc_id", "text").join(broadcast_if_small(hit), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    with_hashes = texts.select("k1", "k2", "doc_id", _words(F.col("text")).alias("words")).select("k1", "k2", "doc_id", _hashes("words", width).alias("hashes"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("hashes") - 1) / SEGMENT).cast("int")), lambda i: F.struct(i.alias("part"), F.slice("hashes", i * SEGMENT + 1, SEGMENT + longest).alias("hashes")))
+    pieces = with_hashes.select("k1", "k2", "doc_id", F.explode_outer(F.when(F.size("hashes") > 0, parts)).alias("x")).filter("x is not null").select("k1", "k2", "doc_id", "x.part", "x.hashes")
+    cuts = F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["n_words"].alias("n_words"), F.slice("hashes", x["start"] % SEGMENT + 1, F.greatest(F.lit(1), x["n_words"] - width + 1)).alias("sh")))
+    one = pieces.join(broadcast_if_small(by_part), ["k1", "k2", "part"]).select("k1", "k2", "doc_id", F.explode(cuts).alias("x")).select("k1", "k2", "doc_id", "x.start", "x.n_words", "x.sh")
     prints = cut(one.withColumn("fp", _fingerprint("sh")).withColumn("sh", F.array_distinct("sh")))
     index = items.select("item", "item_id", F.col("n_words").alias("i_words"), F.col("fp").alias("i_fp"), F.explode(_blocks("fp", radius)).alias("block"))
     index = index.select("item", "item_id", "i_words", "i_fp", F.col("block.no").alias("i_no"), F.col("block.bits").alias("i_bits"))
     probes = prints.select("k1", "k2", "start", "n_words", "fp", F.explode(_blocks("fp", radius)).alias("block"))
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("i_fp")))
-    met = probes.join(broadcast_if_small(cut(index)), (F.col("n_words") == F.col("i_words")) & (F.col("block.no") == F.col("i_no")) & (F.col("block.bits") == F.col("i_bits")) & (far <= radius))
-    pairs = met.select("k1", "k2", "start", "n_words", "item", "item_id", far.alias("hamming")).distinct()
+    apart = F.col("fp").bitwiseXOR(F.col("i_fp"))
+    far = F.bit_count(apart)
+    # a pair that agrees in several blocks is met in the first of them
+    earlier = _agrees_before(apart, F.col("i_no"), radius)
+    met = probes.join(broadcast_if_small(cut(index)), (F.col("n_words") == F.col("i_words")) & (F.col("block.no") == F.col("i_no")) & (F.col("block.bits") == F.col("i_bits")) & (far <= radius) & ~earlier)
+    pairs = met.select("k1", "k2", "start", "n_words", "item", "item_id", far.alias("hamming"))
     sized = items.select(F.col("item").alias("v_item"), F.col("item_id").alias("v_id"), F.col("sh").alias("item_sh"), "total")
     checked = pairs.join(prints.select("k1", "k2", "doc_id", "start", "n_words", "sh"), ["k1", "k2", "start", "n_words"]).join(broadcast_if_small(sized), (F.col("item") == F.col("v_item")) & F.col("item_id").eqNullSafe(F.col("v_id")))
     shared = F.filter("item_sh", lambda x: F.array_contains("sh", x["h"]))
@@ -110,9 +133,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
     """docs without those that hold a benchmark item, with docs' columns and repeated rows."""
-    bad = cut(contaminated(docs, benchmark, id_col, text_col, **how).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct())
+    n1, n2 = fresh(docs, "k1", "k2")
+    bad = cut(contaminated(docs, benchmark, id_col, text_col, **how).select(F.col("k1").alias(n1), F.col("k2").alias(n2)).distinct())
     k1, k2 = row_key(id_col, text_col)
-    return docs.join(broadcast_if_small(bad), (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
+    return docs.join(broadcast_if_small(bad), (k1 == F.col(n1)) & (k2 == F.col(n2)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlight.llm import decontamination, language_id, line_dedup, near_dedup, packing
-from strandlight.llm.common import broadcast_if_small, checkpoint_folder, cut, row_key, table
+from strandlight.llm.common import broadcast_if_small, checkpoint_folder, cut, fresh, row_key, table
 
 #: Near copies, as for all stages on word shingles: five words, similarity 0.8.
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -45,14 +45,15 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of equal rows (same id and text) one stays. Documents without words have no copies.
     """
     found = near_dedup.near_duplicates(docs, width=SHINGLE_WORDS, percent=PERCENT)
-    key = [F.col("k1").alias("__k1"), F.col("k2").alias("__k2")]
+    n1, n2 = fresh(docs, "k1", "k2")
+    key = [F.col("k1").alias(n1), F.col("k2").alias(n2)]
     gone = cut(found.filter(~F.col("first")).select(*key).distinct())
     again = cut(found.filter("first").groupBy("k1", "k2").count().filter("count > 1").select(*key))
     k1, k2 = row_key("doc_id", "text")
-    on = (k1 == F.col("__k1")) & (k2 == F.col("__k2"))
+    on = (k1 == F.col(n1)) & (k2 == F.col(n2))
     kept = docs.join(broadcast_if_small(gone), on, "left_anti")
     if not again.isEmpty():
-        one = kept.join(broadcast_if_small(again), on).dropDuplicates(["__k1", "__k2"])
+        one = kept.join(broadcast_if_small(again), on).dropDuplicates([n1, n2])
         kept = kept.join(broadcast_if_small(again), on, "left_anti").unionByName(one.select(*docs.columns))
     return kept.select(*docs.columns)
 
@@ -80,10 +81,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each result is written to the shared checkpoint folder as Parquet and read again."""
+    """All stages over documents. Each result is written to the shared checkpoint folder as Parquet and read again;
+    it is removed when the next one is there, so that the last one alone stays."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _remove(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

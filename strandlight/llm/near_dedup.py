@@ -5,7 +5,8 @@ has K coordinates from two permutations of the 32-bit integers: sigma scatters t
 shingles once, and coordinate k is the least value of pi over the scattered shingles
 shifted by k places. Bands of coordinates give buckets. In each bucket, members are
 compared with pivots and each pair is verified on the full sets; buckets that still
-span several components go on with more pivots until all their pairs are decided.
+span several components go on with more pivots until all their pairs are decided, by
+bounds that need no sets or by the sets.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from strandlight.llm.components import components
 
 #: 30 bands of 5: a pair at similarity 0.8 shares no bucket with probability 7e-6, one at 0.9 with 2e-12.
 BANDS, ROWS = 30, 5
-#: Pivots of a bucket in the first round; each later round has GROWTH times as many.
-PIVOTS, GROWTH = 1, 16
+#: Pivots of a bucket in the first round after the comparison with one; each later round has GROWTH times as many.
+PIVOTS, GROWTH = 64, 16
 #: Members of a bucket beyond which their own shingles are counted, to rule pairs out.
 LARGE = 32
-#: Cells that a set's shingles are counted in, for a bound on what two sets share.
-CELLS = 64
+#: Longs of a bitmap of a set's shingles, for a bound on what two sets share.
+BITMAP = 16
 #: Bytes of sets that are broadcast to verify a round's pairs; with more, pairs and sets meet by a shuffle.
-SET_BYTES = 48 << 20
+SET_BYTES = 8 << 20
 
 _M1, _M2, _FOLD = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(15)
 
@@ -109,11 +110,18 @@ def _sketcher(width: int, bands: int, rows: int) -> Callable[[Iterator[pa.Record
     return run
 
 
+def bitmap(sh: np.ndarray) -> np.ndarray:
+    """A bit for each last ten bits of a hash that the set has, as 16 longs."""
+    bits = np.zeros(64 * BITMAP, np.uint8)
+    bits[(sh & np.uint64(64 * BITMAP - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _setter(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(x.as_py(), width) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32) for s in sets], pa.list_(pa.int32()))], names=["class", "set", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], names=["id", "set", "bits"])
 
     return run
 
@@ -128,94 +136,110 @@ def _verifier(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     p, q = q, p
                 both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _class_sets(docs: DataFrame, reps: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(class, set) of every class that shares a bucket, made again from one text of each."""
-    wanted = members.select("class").distinct()
-    ids = cut(reps.join(wanted, "class", "left_semi").select("k1", "k2"))
-    near = broadcast_if_small(ids)
-    return cut(docs.join(near, ["k1", "k2"], "left_semi").select("text").mapInArrow(_setter(width), "class binary, set array<long>, cells array<int>"))
+    """(id, set, bits) of every class that shares a bucket, made again from one text of each."""
+    ids = cut(reps.join(broadcast_if_small(cut(members.select("id").distinct())), "id", "left_semi").select("k1", "k2", "id"))
+    n = ids.count()
+    sets = cut(docs.join(broadcast_if_small(ids, n), ["k1", "k2"]).select("id", "text").mapInArrow(_setter(width), "id long, set array<long>, bits array<long>"))
+    return sets if sets.count() == n else cut(sets.dropDuplicates(["id"]))  # more only where a whole row repeats
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are as similar as percent says."""
+    asked = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
+    known = sets.join(broadcast_if_small(asked), "id", "left_semi").select("id", "set")
+    if 8 * (known.agg(F.sum(F.size("set"))).first()[0] or 0) <= SET_BYTES:
+        known = F.broadcast(known)
+    with_a = pairs.join(known.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    with_b = with_a.join(known.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    return cut(with_b.select("a", "b", "set_a", "set_b").mapInArrow(_verifier(percent), "a long, b long"))
 
 
-def _own_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """members with own and cells, which bound similarities in large buckets before any set is moved.
+def _open(members: DataFrame, done: int = 0) -> DataFrame:
+    """members of the buckets that span several components and have pairs left, with the bucket's size and least n."""
+    spans = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size"), F.min("n").alias("least_n"))
+    spans = cut(spans.filter((F.col("x") != F.col("y")) & (F.col("size") > done + 1)).select("bucket", "size", "least_n"))
+    return members.drop("size", "least_n").join(broadcast_if_small(spans), "bucket")
 
-    own is how many of the class's shingles no other class of a large bucket has; those
-    are in no intersection. cells counts the shingles by their last bits; two sets share
-    the smaller count of each cell at most. In other buckets own is 0 and cells null.
+
+def _bounded(alive: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """alive with own and bits, which bound similarities, without what they rule out at once.
+
+    own is how many of a class's shingles no other class of an open large bucket has;
+    those are in no intersection. A class that is too far from the smallest set of its
+    bucket, if all its other shingles were shared, leaves the bucket: it has no link
+    there. In buckets up to LARGE own is 0. Bits that only one of two classes has each
+    stand for a shingle that only one of them has.
     """
-    large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > LARGE).select("bucket")
-    crowd = cut(members.join(large, "bucket", "left_semi").select("class").distinct())
-    flat = sets.join(crowd, "class", "left_semi").select("class", F.explode_outer("set").alias("shingle"))
-    once = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class")).filter("n = 1")
-    own = once.groupBy("class").agg(F.count(F.lit(1)).alias("own"))
-    small = members.join(large, "bucket", "left_anti").withColumns({"own": F.lit(0).cast("long"), "cells": F.lit(None).cast("array<int>")})
-    known = sets.join(crowd, "class", "left_semi").select("class", "cells").join(own, "class", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
-    return cut(small.unionByName(members.join(large, "bucket", "left_semi").join(known, "class")))
+    crowd = cut(alive.filter(F.col("size") > LARGE).select("id").distinct())
+    flat = sets.join(broadcast_if_small(crowd), "id", "left_semi").select("id", F.explode_outer("set").alias("shingle"))
+    once = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id")).filter("times = 1")
+    own = cut(once.groupBy("id").agg(F.count(F.lit(1)).alias("own")))
+    with_own = alive.join(broadcast_if_small(own), "id", "left").withColumn("own", F.when(F.col("size") > LARGE, F.coalesce("own", F.lit(0))).otherwise(0).cast("long"))
+    near = cut(with_own.filter(100 * (F.col("n") - F.col("own")) >= percent * (F.col("own") + F.col("least_n"))))
+    near = _open(near)
+    wanted = cut(near.select("id").distinct())
+    bits = sets.join(broadcast_if_small(wanted), "id", "left_semi").select("id", "bits")
+    return cut(near.join(bits, "id").select("bucket", "id", "n", "root", "first", "own", "bits"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with linked, decided on full sets."""
-    asked = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
-    known = sets.join(asked, "class", "left_semi").select("class", "set")
-    if 8 * (known.agg(F.sum(F.size("set"))).first()[0] or 0) <= SET_BYTES:
-        known = F.broadcast(known)
-    with_a = pairs.join(known.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
-    with_b = with_a.join(known.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-    return cut(with_b.mapInArrow(_verifier(percent), "a binary, b binary, linked boolean").distinct())
+def _joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(node, root) of the components that new links and the old components make."""
+    edges = links if roots is None else links.unionAll(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    return cut(components(edges))
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     """members with the root of the class in the links so far."""
-    joined = members.drop("root").join(roots, F.col("class") == F.col("node"), "left")
-    return joined.select("bucket", "class", "n", "own", "cells", F.coalesce("root", "class").alias("root"))
-
+    small = broadcast_if_small(roots.select(F.col("node").alias("id"), F.col("root").alias("to")))
+    return members.join(small, "id", "left").withColumn("root", F.coalesce("to", "id")).drop("to")
 
-def link_classes(members: DataFrame, decide: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
-    """Verified links that give the components of all links among classes that share a bucket.
 
-    Pivots come in the order of their own shingles: the first ones are the texts that
-    others were made from.
+def class_roots(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, root) for the components of all links among classes that share a bucket; None without links.
 
-    members: (bucket, class, n, own, cells, root), as `_own_shingles` gives them; pairs that
-    these rule out are not decided. A round takes the first
-    pivots of every bucket and decides their pairs with the bucket's other members. A
-    bucket leaves when its members are one component, or all of them have been pivots.
-    Pairs already in one component, or decided before, are not decided again. The work of
-    a round is in proportion to the members, however large a bucket is, and no pair that
-    can change a component is lost.
+    members: (bucket, id, n, first), where first is the bucket's member with most copies.
+    Each member is compared with first. Buckets that then still span several components
+    go on by rounds of pivots, those with the least own shingles first: the texts that
+    others were made from. Pairs in one component, and pairs that the bounds of
+    `_bounded` rule out, are left out; all others are verified, so that no pair that can
+    change a component is lost. A bucket leaves when its members are one component or
+    all have been pivots.
     """
-    links, decided, pivots, done = None, None, PIVOTS, 0
-    alive = members
-    while True:
-        by_bucket = Window.partitionBy("bucket").orderBy("own", "class")
+    pairs = cut(members.filter("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct())
+    links = _verify(pairs, sets, percent)
+    roots = None if links.isEmpty() else _joined(links, None)
+    alive = members.withColumn("root", F.col("id")) if roots is None else _rooted(members.withColumn("root", F.col("id")), roots)
+    alive = cut(_open(alive))
+    if alive.isEmpty():
+        return roots
+    alive = _bounded(alive, sets, percent)
+    done, pivots = 0, PIVOTS
+    while not alive.isEmpty():
+        by_bucket = Window.partitionBy("bucket").orderBy("own", "id")
         top = alive.withColumn("rank", F.row_number().over(by_bucket)).filter(F.col("rank") <= done + pivots).filter(F.col("rank") > done)
-        first = top.select("bucket", F.col("class").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("pivot_n"), F.col("own").alias("pivot_own"), F.col("cells").alias("pivot_cells"))
-        both = F.aggregate(F.zip_with("cells", "pivot_cells", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-        most = F.least(F.col("n") - F.col("own"), F.col("pivot_n") - F.col("pivot_own"), both)
-        fits = 100 * most >= percent * (F.col("n") + F.col("pivot_n") - most)
-        later = F.struct("own", "class") > F.struct("pivot_own", "pivot")
-        pairs = alive.join(first, "bucket").filter(later & (F.col("root") != F.col("pivot_root")) & fits).select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b")).distinct()
-        if decided is not None:
-            pairs = pairs.join(decided, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        top = top.select("bucket", *(F.col(c).alias(f"p_{c}") for c in ("id", "n", "root", "own", "bits")))
+        apart = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("p_bits", F.lit(k)))) for k in range(BITMAP)), F.lit(0))
+        most = F.least(F.col("n") - F.col("own"), F.col("p_n") - F.col("p_own"), F.floor((F.col("n") + F.col("p_n") - apart) / 2))
+        fits = 100 * most >= percent * (F.col("n") + F.col("p_n") - most)
+        later = F.struct("own", "id") > F.struct("p_own", "p_id")
+        before = (F.col("id") == F.col("first")) | (F.col("p_id") == F.col("first"))
+        met = alive.join(top, "bucket").filter(later & (F.col("root") != F.col("p_root")) & ~before & fits)
+        pairs = cut(met.select(F.least("p_id", "id").alias("a"), F.greatest("p_id", "id").alias("b")).distinct())
         if not pairs.isEmpty():
-            found = decide(pairs)
-            decided = found.select("a", "b") if decided is None else decided.unionAll(found.select("a", "b"))
-            new = found.filter("linked").select("a", "b")
-            if not new.isEmpty():
-                links = new if links is None else links.unionAll(new)
-                alive = _rooted(alive, cut(components(links)))
+            links = _verify(pairs, sets, percent)
+            if not links.isEmpty():
+                roots = _joined(links, roots)
+                alive = _rooted(alive, roots)
         done += pivots
         pivots *= GROWTH
-        open_ = alive.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).filter((F.col("x") != F.col("y")) & (F.col("size") > done + 1)).select("bucket")
-        alive = cut(alive.join(open_, "bucket", "left_semi"))
-        if alive.isEmpty():
-            return links
+        alive = cut(_open(alive, done).drop("size", "least_n"))
+    return roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -231,21 +255,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     keyed = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = cut(keyed.select("doc_id", "text", "k1", "k2").mapInArrow(_with_keys(_sketcher(width, bands, rows)), "k1 long, k2 long, doc_id long, n_shingles long, class binary, keys array<long>"))
-    classes = sketches.filter("class is not null").groupBy("class").agg(F.min(F.struct("k1", "k2")).alias("rep"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    reps = cut(classes.select("class", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "least", "n", "keys"))
-    flat = reps.select("class", "n", F.explode("keys").alias("bucket"))
-    shared = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
-    members = cut(flat.join(shared, "bucket", "left_semi").select("bucket", "class", "n", F.col("class").alias("root")))
-    sets = _class_sets(keyed, reps, members, width)
-    members = _own_shingles(members, sets)
-    links = link_classes(members, lambda pairs: _verify(pairs, sets, percent), percent)
+    classes = sketches.filter("class is not null").groupBy("class").agg(F.min(F.struct("k1", "k2")).alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    reps = cut(classes.select("class", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "least", "copies", "n", "keys", F.monotonically_increasing_id().alias("id")))
+    flat = reps.select("id", "n", "copies", F.explode("keys").alias("bucket"))
+    most_copied = F.max(F.struct("copies", (-F.col("id")).alias("less")))
+    shared = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), most_copied.alias("most")).filter("size > 1")
+    shared = cut(shared.select("bucket", (-F.col("most.less")).alias("first")))
+    members = cut(flat.select("bucket", "id", "n").join(broadcast_if_small(shared), "bucket"))
+    roots = None
+    if not members.isEmpty():
+        roots = class_roots(members, _class_sets(keyed, reps, members, width), percent)
     own = reps.select("class", "least", F.struct("k1", "k2").alias("first"))
-    if links is not None and not links.isEmpty():
-        roots = components(links).select(F.col("node").alias("class"), "root")
-        rooted = cut(own.join(roots, "class").select("class", "root", "least", "first"))
+    if roots is not None:
+        rooted = cut(reps.select("class", "least", F.struct("k1", "k2").alias("first"), "id").join(broadcast_if_small(roots.withColumnRenamed("node", "id")), "id"))
         low = rooted.groupBy("root").agg(F.min("least").alias("low"), F.min("first").alias("low_first"))
-        named = rooted.join(low, "root").select("class", "low", "low_first")
-        own = own.join(named, "class", "left").select("class", F.coalesce("low", "least").alias("least"), F.coalesce("low_first", "first").alias("first"))
+        named = cut(rooted.join(low, "root").select("class", "low", "low_first"))
+        own = own.join(broadcast_if_small(named), "class", "left").select("class", F.coalesce("low", "least").alias("least"), F.coalesce("low_first", "first").alias("first"))
     out = sketches.drop("keys").join(own, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     first = F.coalesce(F.struct("k1", "k2") == F.col("first"), F.lit(True))

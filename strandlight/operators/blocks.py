@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlight.operators.generate import draw
+
 
 def slices(sizes: DataFrame, keys: Sequence[str], n_slices: int, size_col: str = "n") -> DataFrame:
     """keys, slice, start, end: n positions in near-equal parts, the first n mod n_slices of them one longer."""
@@ -63,6 +65,29 @@ def split_patterns(bits: DataFrame, keys: Sequence[str], least: int) -> DataFram
     return run_pairs(bits, keys).select(*keys, "start", (F.col("start") + F.col("zeros") + F.col("ones")).alias("end"), F.col("ones").alias("n_ones")).filter(F.col("end") - F.col("start") >= least)
 
 
+def _cut_out(found: DataFrame, bits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """found with the bits of each block."""
+    part = F.col("__bits").substr((F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    return found.join(bits.select(*keys, F.col("bits").alias("__bits")), list(keys)).withColumn("part", part)
+
+
+def bad_fixed(found: DataFrame, bits: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """Blocks that are not as long as they say, or as width says unless they are the last."""
+    size = F.col("end") - F.col("start")
+    return _cut_out(found, bits, keys).filter((F.length("part") != size) | ((size != width) & (F.col("end") != F.length("__bits"))))
+
+
+def bad_ones(found: DataFrame, bits: DataFrame, keys: Sequence[str], n_ones: int) -> DataFrame:
+    """Blocks that are not as long as they say, or hold other than n_ones ones."""
+    ones = F.length(F.replace("part", F.lit("0"), F.lit("")))
+    return _cut_out(found, bits, keys).filter((F.length("part") != F.col("end") - F.col("start")) | (ones != n_ones))
+
+
+def bad_patterns(found: DataFrame, bits: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+    """Blocks that are not zeros and then ones, or shorter than least."""
+    return _cut_out(found, bits, keys).filter((F.length("part") != F.col("end") - F.col("start")) | ~F.col("part").rlike("^0*1*$") | (F.length("part") < least))
+
+
 def run_histogram(bits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, bit, length, n: how many runs of a bit have a length."""
     pairs = run_pairs(bits, keys)
@@ -113,5 +138,5 @@ def repeat_bitmap(texts: DataFrame, keys: Sequence[str], width: int, text_col: s
 def block_sample(texts: DataFrame, keys: Sequence[str], width: int, n: int, seed: int = 0, text_col: str = "text") -> DataFrame:
     """keys, sample, start, block: n random blocks of each text, equal for equal seeds."""
     each = texts.filter(F.length(text_col) >= width).select(*keys, F.col(text_col).alias("__t"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample"))
-    start = F.pmod(F.xxhash64(*keys, "sample", F.lit(seed)), F.length("__t") - width + 1)
+    start = draw(seed, F.col("sample"), *map(F.col, keys)) % (F.length("__t") - width + 1)
     return each.withColumn("start", start).select(*keys, "sample", "start", F.col("__t").substr((F.col("start") + 1).cast("int"), F.lit(width)).alias("block"))

@@ -47,6 +47,19 @@ def locate(docs: DataFrame, patterns: DataFrame, keys: Sequence[str], text_col:
     return found.select(*keys, "pattern", F.explode(each).alias("x")).select(*keys, "pattern", "x.*")
 
 
+def sequences(docs: DataFrame, key: str, numbers: Sequence[int]) -> DataFrame:
+    """docs with n, the place of the key among all keys from 0 on, for the places that are asked for.
+
+    Places come from counts of the ranges of keys that a sort makes, so no task sees all keys.
+    """
+    part = docs.select(key).repartitionByRange(key).sortWithinPartitions(key).select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    sizes = part.groupBy("p").agg(F.count(F.lit(1)).alias("size"), F.min("m").alias("first"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select(F.col("p").alias("p2"), before.alias("before"), "first")  # a row a partition
+    placed = part.join(F.broadcast(firsts), F.col("p") == F.col("p2")).select(F.col(key).alias("__k"), (F.col("before") + F.col("m") - F.col("first")).alias("n"))
+    return docs.join(placed.filter(F.col("n").isin(list(numbers))), F.col(key) == F.col("__k")).drop("__k")
+
+
 def listing(docs: DataFrame, patterns: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """pattern, key of each document that holds it."""
     return _pairs(docs, patterns, [key], text_col).select("pattern", key).distinct()

@@ -6,6 +6,7 @@ Texts are a collection: a match lies inside one text. Positions count code point
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,40 @@ PIECE, AT_ONCE, BATCH_CHARS, DENSE = 1024, 4096, 1 << 23, 1 << 23
 STRATEGIES = ("auto", "automaton", "seed", "prefix")
 
 
+@dataclass(frozen=True)
+class Flags:
+    """How the sequential engine would walk; combinations that contradict each other raise ValueError.
+
+    All walks give the same vector, so a flag changes no row: strategy() names the
+    physical strategy that answers them.
+    """
+
+    double_rank: bool = False
+    lazy: bool = False
+    rank_fail: bool = False
+    use_maxrep: bool = False
+    use_maxrep_rc: bool = False
+    answer: bool = False
+    avg: bool = False
+
+    def __post_init__(self) -> None:
+        maxrep = self.use_maxrep or self.use_maxrep_rc
+        rules = [
+            (self.use_maxrep and self.use_maxrep_rc, "both kinds of maximal repeats"),
+            (self.lazy and maxrep, "lazy links and maximal repeats"),
+            (not self.double_rank and maxrep, "single ranks and maximal repeats"),
+            (not self.rank_fail and maxrep, "maximal repeats without failing ranks"),
+            (not self.double_rank and self.rank_fail, "single ranks and failing ranks"),
+            (self.answer and self.avg, "the values and their average"),
+        ]
+        for bad, what in rules:
+            if bad:
+                raise ValueError(f"not both: {what}")
+
+    def strategy(self) -> str:
+        return "auto"
+
+
 class SuffixAutomaton:
     """Substrings of a collection, read backwards, with the number of their occurrences."""
 

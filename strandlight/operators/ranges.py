@@ -43,7 +43,12 @@ def islands(ms: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def range_sum_runs(ms: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """By arithmetic series over the runs that a range meets."""
-    runs = islands(ms, keys).select(*keys, "first", "n", "top", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("n") - 1) / BLOCK))).alias("block"))
+    return sum_over_runs(islands(ms, keys), ranges, keys)
+
+
+def sum_over_runs(runs: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As range_sum_runs, from the runs (as `islands` gives them)."""
+    runs = runs.select(*keys, "first", "n", "top", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("n") - 1) / BLOCK))).alias("block"))
     a = F.greatest("first", "from_idx", F.col("block") * BLOCK)
     z = F.least(F.col("first") + F.col("n"), F.col("to_idx"), (F.col("block") + 1) * BLOCK)
     met = runs.join(_pieces(ranges, BLOCK), [*keys, "block"]).withColumns({"a": a, "len": z - a}).filter("len > 0")
@@ -77,7 +82,12 @@ def range_max(ms: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFram
 
 def range_max_runs(ms: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Only a run's first position in the range can be its maximum."""
-    runs = islands(ms, keys).select(*keys, "first", "n", "top", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("n") - 1) / BLOCK))).alias("block"))
+    return max_over_runs(islands(ms, keys), ranges, keys)
+
+
+def max_over_runs(runs: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As range_max_runs, from the runs (as `islands` gives them)."""
+    runs = runs.select(*keys, "first", "n", "top", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("n") - 1) / BLOCK))).alias("block"))
     met = runs.join(_pieces(ranges, BLOCK), [*keys, "block"]).withColumn("pos", F.greatest("first", "from_idx")).filter((F.col("pos") < F.col("first") + F.col("n")) & (F.col("pos") < F.col("to_idx")))
     return _answer(ranges, _best(met.withColumn("ms", F.col("top") - (F.col("pos") - F.col("first"))), keys), keys)
 

@@ -7,6 +7,7 @@ and many texts spread over the executors.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from heapq import merge
 from itertools import islice
 
 import numpy as np
@@ -60,6 +61,54 @@ def suffix_table(texts: DataFrame, keys: Sequence[str], text_col: str = "text",
     return flat.select(*keys, F.col("sa_rank").cast("long").alias("sa_rank"), F.col("x.p").alias("sa_pos"), F.col("x.l").alias("lcp"), F.col("x.c").alias("symbol"), F.col("x.b").alias("bwt"))
 
 
+def _collection_ranks(ids: Sequence, texts: Sequence[str]) -> list[tuple]:
+    """(id, pos) of all suffixes in order; of equal suffixes the one of the text that comes first."""
+    parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + len(texts) for t in texts]
+    codes = np.concatenate([np.append(x, i) for i, x in enumerate(parts)]) if parts else np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(parts)), [len(x) + 1 for x in parts])
+    begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])[:-1]]) if parts else np.empty(0, np.int64)
+    order = sort_suffixes(codes)[0]
+    order = order[codes[order] >= len(texts)]  # the end marks are no suffixes
+    return [(ids[owner[p]], int(p - begin[owner[p]])) for p in order]
+
+
+def _ranked(df: DataFrame, keys: Sequence[str], find: Callable[[dict], list[tuple]]) -> DataFrame:
+    """keys, sa_rank, id, pos from one row for each collection."""
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "x array<struct<id:bigint,pos:bigint>>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("pos", pa.int64())]))
+        for b in batches:
+            rows = [[{"id": i, "pos": p} for i, p in find(x)] for x in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(rows, kind)], names=[*keys, "x"])
+
+    return df.mapInArrow(run, schema).select(*keys, F.posexplode("x").alias("sa_rank", "x")).select(*keys, F.col("sa_rank").cast("long").alias("sa_rank"), "x.id", "x.pos")
+
+
+def _gathered(texts: DataFrame, keys: Sequence[str], id_col: str, text_col: str) -> DataFrame:
+    rows = texts.filter(F.col(text_col).isNotNull())
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))).alias("docs"))
+
+
+def collection_table(texts: DataFrame, keys: Sequence[str], id_col: str, text_col: str = "text") -> DataFrame:
+    """keys, sa_rank, id, pos: the suffixes of all texts of a collection (keys) in one order. A collection is one row's work."""
+    return _ranked(_gathered(texts, keys, id_col, text_col), keys, lambda x: _collection_ranks([y["id"] for y in x["docs"]], [y["text"] for y in x["docs"]]))
+
+
+def merge_collections(a: DataFrame, b: DataFrame, texts: DataFrame, keys: Sequence[str], id_col: str, text_col: str = "text") -> DataFrame:
+    """The table of two collections together from their tables: both orders are kept, and only suffixes of one are
+    compared with suffixes of the other. This adds texts to a table without sorting it again."""
+
+    def find(x: dict) -> list[tuple]:
+        text = {y["id"]: y["text"] for y in x["docs"]}
+        order = [[(y["id"], y["pos"]) for y in x[side] or []] for side in ("a", "b")]
+        return list(merge(*order, key=lambda y: (text[y[0]][y[1] :], y[0])))
+
+    side = lambda df, name: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("sa_rank", "id", "pos"))), lambda y: F.struct(y["id"].alias("id"), y["pos"].alias("pos"))).alias(name))
+    rows = _gathered(texts, keys, id_col, text_col).join(side(a, "a"), list(keys), "left").join(side(b, "b"), list(keys), "left")
+    return _ranked(rows, keys, find)
+
+
 def inverse(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return table.select(*keys, F.col("sa_pos").alias("pos"), F.col("sa_rank").alias("isa"))
 

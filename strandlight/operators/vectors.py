@@ -93,9 +93,10 @@ def slice_bits(bits: DataFrame, keys: Sequence[str], start: int = 0, length: int
     return bits.select(*keys, F.col("bits").substr(F.lit(start + 1), n).alias("bits"))
 
 
-def printed(ms: DataFrame, keys: Sequence[str], column: str = "ms") -> DataFrame:
-    """keys, line: the values in order, with spaces between."""
-    rows = ms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.col(column).alias("v")))).alias("x"))
+def printed(ms: DataFrame, keys: Sequence[str], column: str = "ms", start: int = 0, length: int = 0) -> DataFrame:
+    """keys, line: the values of positions [start, start + length), in order, with spaces between; length 0 is to the end."""
+    inside = (F.col("pos") >= start) & (F.col("pos") < start + length) if length else F.col("pos") >= start
+    rows = ms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(inside, F.struct("pos", F.col(column).alias("v"))))).alias("x"))
     return rows.select(*keys, F.array_join(F.transform("x", lambda x: x["v"].cast("string")), " ").alias("line"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlight.operators import blocks, matching, ranges, vectors
+from strandlight.operators.generate import draw
 from strandlight.plans.registry import query, read
 from strandlight.sources import stored
 
@@ -222,13 +223,16 @@ def range_index(spark: SparkSession, d: str) -> DataFrame:
     return ranges.block_index(_ms(spark, d), KEYS, 4)
 
 
-@query("range_profile", MS + """, r as (
-  select conv_id, turn, unnest(range(0, 8)) k, length(text) n from conversations where length(text) >= 32)
-  select r.conv_id, r.turn, k::int range_id, (k * 37 % (n - 31))::bigint from_idx, (k * 37 % (n - 31) + 32)::bigint to_idx, sum(ms)::bigint sum
-  from r join ms on ms.conv_id = r.conv_id and ms.turn = r.turn and pos >= k * 37 % (n - 31) and pos < k * 37 % (n - 31) + 32 group by all""")
+_START = "('0x' || substr(md5('123:' || k || ':' || conv_id || ':' || turn), 1, 8))::bigint"
+
+
+@query("range_profile", MS + f""", r as (
+  select conv_id, turn, k, {_START} % (n - 31) a from (select conv_id, turn, unnest(range(0, 8)) k, length(text) n from conversations where length(text) >= 32))
+  select r.conv_id, r.turn, k::int range_id, a::bigint from_idx, (a + 32)::bigint to_idx, sum(ms)::bigint sum
+  from r join ms on ms.conv_id = r.conv_id and ms.turn = r.turn and pos >= a and pos < a + 32 group by all""")
 def range_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Eight ranges of 32 positions in each vector that has as many, at spread starts."""
-    at = F.col("range_id") * 37 % (F.col("n") - 31)
+    """Eight ranges of 32 positions in each vector that has as many, at random starts by the seed 123."""
+    at = draw(123, F.col("range_id"), F.col("conv_id"), F.col("turn")) % (F.col("n") - 31)
     rows = read(spark, d, "conversations").select(*KEYS, F.length("text").alias("n")).filter("n >= 32").withColumn("range_id", F.explode(F.sequence(F.lit(0), F.lit(7))))
     return ranges.range_sum_indexed(ranges.prefix_sums(_ms(spark, d), KEYS), rows.select(*KEYS, "range_id", at.cast("long").alias("from_idx"), (at + 32).cast("long").alias("to_idx")), KEYS)
 

@@ -27,4 +27,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from strandlight.plans import codec_queries, ms_queries, sequence_queries, stored_queries, suffix_queries, text_queries, tree_queries  # noqa: E402, F401
+from strandlight.plans import codec_queries, ms_queries, sequence_queries, stored_bit_queries, stored_queries, suffix_queries, text_queries, tree_queries  # noqa: E402, F401

@@ -59,6 +59,22 @@ def seq_double_rank(spark: SparkSession, d: str) -> DataFrame:
     return sq.rank_at(_seq(spark, d), sq.rank_at(_seq(spark, d), asks, "lb", "rank_lb"), "rb", "rank_rb")
 
 
+@query("seq_rank_and_fail", SQL + """, x as (select q, lb, rb, qs.c, count(*) filter (where seq.i < lb)::bigint rank_lb, count(*) filter (where seq.i < rb)::bigint rank_rb from qs left join seq on seq.c = qs.c group by all)
+  select *, rank_lb = rank_rb failed from x""")
+def seq_rank_and_fail(spark: SparkSession, d: str) -> DataFrame:
+    """Both ranks, and whether the range has no such symbol."""
+    asks = _ranges(spark, d).select("q", "lb", "rb", "c")
+    return sq.rank_at(_seq(spark, d), sq.rank_at(_seq(spark, d), asks, "lb", "rank_lb"), "rb", "rank_rb").withColumn("failed", F.col("rank_lb") == F.col("rank_rb"))
+
+
+@query("seq_rank_and_check", SQL + """, x as (select q, qs.i, qs.c, count(seq.i) rank from qs left join seq on seq.c = qs.c and seq.i < qs.i group by all)
+  select x.*, seq.c = x.c there from x join seq using (i)""")
+def seq_rank_and_check(spark: SparkSession, d: str) -> DataFrame:
+    """The rank at a place, and whether the symbol stands there."""
+    ranked = sq.rank_at(_seq(spark, d), _asks(spark, d).select("q", "i", "c"))
+    return ranked.join(_seq(spark, d).withColumnRenamed("c", "sym"), "i").withColumn("there", F.col("sym") == F.col("c")).drop("sym")
+
+
 @query("seq_select_at_dist", SQL + ", r as (select q, qs.i, qs.c, k, seq.i pos, row_number() over (partition by q order by seq.i) n from qs join seq on seq.c = qs.c and seq.i >= qs.i) select qs.q, qs.i, qs.c, qs.k, r.pos from qs left join r on r.q = qs.q and r.n = qs.k")
 def seq_select_at_dist(spark: SparkSession, d: str) -> DataFrame:
     return sq.select_after(_seq(spark, d), _asks(spark, d).select("q", "i", "c", "k"))

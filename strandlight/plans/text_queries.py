@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlight.operators import blocks, documents, generate
+from strandlight.operators import blocks, documents, generate, suffixes
 from strandlight.plans.registry import query, read
 from strandlight.sources import fasta
 
@@ -73,7 +73,9 @@ def repeat_bitmap(spark: SparkSession, d: str) -> DataFrame:
     return blocks.repeat_bitmap(_docs(spark, d), ["doc_id"], 64)
 
 
-@query("block_sample")
+@query("block_sample", """select doc_id, sample::int sample, start, substr(text, start::int + 1, 32) as block from (
+  select doc_id, text, sample, ('0x' || substr(md5('7:' || sample || ':' || doc_id), 1, 8))::bigint % (length(text) - 32 + 1) as start
+  from documents, range(4) q(sample) where length(text) >= 32)""")
 def block_sample(spark: SparkSession, d: str) -> DataFrame:
     return blocks.block_sample(_docs(spark, d), ["doc_id"], 32, 4, seed=7)
 
@@ -181,16 +183,85 @@ def fasta_clean(spark: SparkSession, d: str) -> DataFrame:
     return fasta.clean(_records(spark, d))
 
 
-@query("gen_random")
+def _draw(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 8))::bigint"
+
+
+def _random_sql(n: int, seed: int) -> str:
+    """(pos, k): places and the numbers of their symbols."""
+    return f"(select pos, ({_draw(f"'{seed}:' || pos")} % 5)::int k from range({n}) r(pos))"
+
+
+def _mutate_sql(source: str, count: int, seed: int) -> str:
+    at, to = _draw(f"'{seed}:at:' || pos"), _draw(f"'{seed}:to:' || pos")
+    return f"(select pos, case when row_number() over (order by {at}, pos) <= {count} then (k + 1 + {to} % 4) % 5 else k end k from {source})"
+
+
+def _repeat_sql(width: int, copies: int, count: int, seed: int) -> str:
+    at, to = _draw(f"'{seed}:' || c || ':at:' || pos"), _draw(f"'{seed}:' || c || ':to:' || pos")
+    return f"""(select c * {width} + pos as pos, case when c > 0 and row_number() over (partition by c order by {at}, pos) <= {count}
+      then (k + 1 + {to} % 4) % 5 else k end k from {_random_sql(width, seed)}, range({copies}) q(c))"""
+
+
+def _text_sql(source: str, name: str = "text") -> str:
+    return f"(select string_agg(substr('abcde', k::int + 1, 1), '' order by pos) {name} from {source})"
+
+
+@query("gen_random", f"select * from {_text_sql(_random_sql(300, 1432))}")
 def gen_random(spark: SparkSession, d: str) -> DataFrame:
     return generate.joined(generate.random_text(spark, 300, seed=1432))
 
 
-@query("gen_mutate")
+@query("gen_weighted", f"""select string_agg(case when u < 5 then 'a' when u < 8 then 'c' when u < 9 then 'g' else 't' end, '' order by pos) as text
+  from (select pos, {_draw("'7:' || pos")} % 10 u from range(500) r(pos))""")
+def gen_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return generate.joined(generate.random_text(spark, 500, "acgt", 7, [5, 3, 1, 1]))
+
+
+@query("gen_mutate", f"select * from {_text_sql(_mutate_sql(_random_sql(300, 1432), 15, 1432))}")
 def gen_mutate(spark: SparkSession, d: str) -> DataFrame:
     return generate.joined(generate.mutate(generate.random_text(spark, 300, seed=1432), 15, seed=1432))
 
 
-@query("gen_repeat")
+@query("gen_repeat", f"select * from {_text_sql(_repeat_sql(60, 5, 10, 1432))}")
 def gen_repeat(spark: SparkSession, d: str) -> DataFrame:
     return generate.joined(generate.repetitive(spark, 60, 5, 10, seed=1432))
+
+
+_FAMILIES = [
+    f"select '{kind}_300s_{way}_{m}t_abcde' pair_id, s, t from {_text_sql(s, 's')}, {_text_sql(_random_sql(m, 1432 + m) if way == 'dis' else _mutate_sql(f'(select * from {s} where pos < {m})', 15, 1432 + m), 't')}"
+    for kind, s in (("rnd", _random_sql(300, 1432)), ("rep", _repeat_sql(60, 5, 10, 1432)))
+    for m in (50, 150)
+    for way in ("dis", "sim")
+]
+
+
+@query("gen_families", " union all ".join(_FAMILIES))
+def gen_families(spark: SparkSession, d: str) -> DataFrame:
+    return generate.families(spark, seed=1432)
+
+
+@query("doc_extract", "select n, item_id, text from (select item_id, text, row_number() over (order by item_id) - 1 n from benchmark) where n in (0, 3, 7)")
+def doc_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences 0, 3 and 7 of the collection of passages."""
+    return documents.sequences(read(spark, d, "benchmark"), "item_id", [0, 3, 7]).select("n", "item_id", "text")
+
+
+_COLLECTION = "select n_regionkey, row_number() over (partition by n_regionkey order by substr(n_name, pos::int + 1), n_nationkey) - 1 sa_rank, n_nationkey, pos from (select *, unnest(range(0, length(n_name))) pos from nation)"
+
+
+def _collection(spark: SparkSession, d: str, part: str) -> DataFrame:
+    return suffixes.collection_table(read(spark, d, "nation").filter(part), ["n_regionkey"], "n_nationkey", "n_name")
+
+
+@query("collection_table", _COLLECTION)
+def collection_table(spark: SparkSession, d: str) -> DataFrame:
+    """The suffixes of all nations' names of a region in one order."""
+    return _collection(spark, d, "true").withColumnsRenamed({"id": "n_nationkey"}).select("n_regionkey", "sa_rank", "n_nationkey", "pos")
+
+
+@query("collection_merge", _COLLECTION)
+def collection_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the tables of the nations with even and with odd keys."""
+    both = suffixes.merge_collections(_collection(spark, d, "n_nationkey % 2 = 0"), _collection(spark, d, "n_nationkey % 2 = 1"), read(spark, d, "nation"), ["n_regionkey"], "n_nationkey", "n_name")
+    return both.withColumnsRenamed({"id": "n_nationkey"}).select("n_regionkey", "sa_rank", "n_nationkey", "pos")

@@ -127,3 +127,38 @@ def test_blocks_and_texts(spark):
     empty = spark.createDataFrame([(0, ""), (1, None)], "qid long, text string")
     assert blocks.char_frequencies(empty, K).count() == 0
     assert matching.ms_build(empty, empty, K).count() == 0
+
+
+def test_flags_that_contradict_each_other():
+    bad = [{"double_rank": True, "rank_fail": True, "use_maxrep": True, "use_maxrep_rc": True}, {"lazy": True, "double_rank": True, "rank_fail": True, "use_maxrep": True}, {"use_maxrep": True, "rank_fail": True}, {"use_maxrep_rc": True, "double_rank": True}, {"rank_fail": True}, {"answer": True, "avg": True}]
+    for flags in bad:
+        with pytest.raises(ValueError):
+            matching.Flags(**flags)
+    assert matching.Flags(double_rank=True, rank_fail=True, use_maxrep=True).strategy() in matching.STRATEGIES
+
+
+def test_pieces_and_tables_change_nothing(monkeypatch):
+    r = random.Random(5)
+    for dense in (1 << 20, 0):
+        monkeypatch.setattr(matching, "DENSE", dense)
+        for _ in range(40):
+            monkeypatch.setattr(matching, "PIECE", r.choice([4, 16, 1024]))
+            texts = ["".join(r.choice("abc") for _ in range(r.randrange(0, 60))) for _ in range(r.randrange(0, 4))]
+            queries = ["".join(r.choice("abcd") for _ in range(r.randrange(0, 90))) for _ in range(5)] + [t * 3 for t in texts[:1]]
+            automaton, matcher = matching.SuffixAutomaton(texts), matching.Matcher(texts)
+            for q, (ms, freq) in zip(queries, matcher.match(queries), strict=True):
+                assert (ms.tolist(), freq.tolist()) == automaton.match(q)
+
+
+def test_beyond_the_automaton(spark, monkeypatch):
+    r = random.Random(6)
+    make = lambda n: "".join(r.choice("ab") for _ in range(n))
+    texts = spark.createDataFrame([(make(60),) for _ in range(5)] + [(None,)], "text string")
+    queries = spark.createDataFrame([(i, make(40)) for i in range(4)] + [(9, None)], "query_id long, text string")
+    want = sorted(map(tuple, matching.ms_frequency(texts, queries).collect()))
+    arrays = {x.query_id: x.ms for x in matching.ms_arrays(texts, queries).collect()}
+    monkeypatch.setattr(matching, "AUTOMATON_CHARS", 10)
+    assert sorted(map(tuple, matching.ms_frequency(texts, queries).collect())) == want
+    assert {x.query_id: x.ms for x in matching.ms_arrays(texts, queries).collect()} == arrays
+    with pytest.raises(ValueError):
+        matching.ms_vectors(texts, queries, ["query_id"])

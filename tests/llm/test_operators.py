@@ -324,16 +324,35 @@ def test_chat_trees_round_trip(spark):
         assert got[c].n_turns == len(turns)
         assert got[c].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    total = sum(x.formatted_chars for x in got.values())
-    kept = 0
-    for tree in trees.collect():
-        kept += len(tree.text)
-        for n in tree.nodes:  # positions count along the path; only ancestors and the node are seen
-            assert n.position + n.end - n.start == sum(s.end - s.start for s in n.sees)
-    assert kept < total
     assert chat_format.format_trees(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 300, 1 << 18])
+def test_a_shared_turn_is_written_once(spark, monkeypatch, size):
+    monkeypatch.setattr(chat_format, "BLOCK_CHARS", size)
+    r = random.Random(11)
+    rows, convs = [], {}
+    for c in range(300):  # a third and more share their first turns
+        turns = [("user", "hello")] if c % 3 else [("user", r.choice("xyz"))]
+        turns += [(role, r.choice(["a", "b" * 30, "c"])) for role in ("assistant", "user", "assistant")[: r.randrange(0, 4)]]
+        convs[c] = turns
+        rows += [(c, t, role, text) for t, (role, text) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"path": F.lit(1), "turns": F.lit(2), "key": F.lit(3)})
+    blocks = chat_format.cut(chat_format.format_trees(df))
+    found = blocks.collect()
+    prefixes = {tuple(t[: k + 1]) for t in convs.values() for k in range(len(t))}
+    assert sum(len(x.text) for x in found) == sum(len(chat_format.write_turn(*p[-1])[0]) for p in prefixes)
+    length = {bytes(n.key): n.end - n.start for x in found for n in x.nodes}
+    assert len(length) == len(prefixes) == sum(len(x.nodes) for x in found)
+    for x in found:
+        above = [length[bytes(k)] for k in x.outer]
+        for n in x.nodes:  # positions count along the path; only outer nodes, ancestors and the node are seen
+            assert n.position + n.end - n.start == sum(above[: n.n_outer]) + sum(s.end - s.start for s in n.sees)
+            assert n.parent < 0 or x.nodes[n.parent].n_outer == n.n_outer
+    got = {x.conv_id: x.turns_sha256 for x in chat_format.conversation_digest(blocks).collect()}
+    assert got == {c: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest() for c, t in convs.items()}
+
+
 def test_url_lists(spark):
     entries = [("d:bad.com", "add", "2024-01-10"), ("d:bad.com", "remove", "2024-03-01"), ("d:bad.com", "add", "2024-05-01"), ("p:x.org/a", "add", "2024-02-01"), ("p:x.org/a", "add", "2024-02-05"), ("d:tie.net", "add", "2024-01-01"), ("d:tie.net", "remove", "2024-01-01"), (None, "add", "2024-01-01"), ("d:x.org", "other", "2024-01-01")]
     pages = [(1, "http://u:p@WWW.Bad.com:80/x?y", "2024-01-09"), (2, "http://www.bad.com/x", "2024-01-10"), (3, "https://bad.com", "2024-02-29"), (4, "https://bad.com", "2024-03-01"), (5, "https://bad.com", "2025-05-01"), (6, "http://x.org/a/b", "2024-02-01"), (7, "http://x.org/ab", "2024-02-01"), (8, "http://tie.net/", "2024-06-01"), (9, None, "2024-06-01"), (10, "no scheme", None), (11, "https://notbad.com", "2024-02-01"), (2, "http://www.bad.com/x", "2024-01-10")]

@@ -5,8 +5,9 @@ Ranges are half open. A range join is an equality on blocks of positions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,15 +106,30 @@ def inverse_permutation(perm: DataFrame) -> DataFrame:
 def smaller_values(rows: DataFrame, keys: Sequence[str], i: str, v: str) -> DataFrame:
     """keys, i, psv, nsv: the nearest places before and after with a smaller value; -1 and null beside none.
 
-    Places with a value of a level form steps: for each level, the last place before with
-    a lower value is a running maximum. Values are few in a text's common-prefix array.
+    A sequence (keys) is one row, which a stack goes through once.
     """
-    levels = rows.select(*keys, F.col(v).alias("__level")).distinct()
-    both = levels.join(rows.select(*keys, i, v), list(keys))
-    w = Window.partitionBy(*keys, "__level").orderBy(i)
-    low = F.when(F.col(v) < F.col("__level"), F.col(i))
-    seen = both.withColumns({"psv": F.max(low).over(w.rowsBetween(Window.unboundedPreceding, -1)), "nsv": F.min(low).over(Window.partitionBy(*keys, "__level").orderBy(F.desc(i)).rowsBetween(Window.unboundedPreceding, -1))})
-    return seen.filter(F.col(v) == F.col("__level")).select(*keys, i, F.coalesce("psv", F.lit(-1)).alias("psv"), "nsv")
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(i).cast("long").alias("i"), F.col(v).alias("v")))).alias("x"))
+    schema = ", ".join([*(f"`{k}` {lists.schema[k].dataType.simpleString()}" for k in keys), "x array<struct<i:bigint,psv:bigint,nsv:bigint>>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("i", pa.int64()), ("psv", pa.int64()), ("nsv", pa.int64())]))
+        for b in batches:
+            out = []
+            for row in b.column("x").to_pylist():
+                found, stack = [], []
+                for x in row:
+                    while stack and stack[-1][0] > x["v"]:
+                        stack.pop()[1]["nsv"] = x["i"]
+                    # of equal values the nearest smaller one before is that of the first of them
+                    before = stack[-1][1] if stack else None
+                    psv = -1 if before is None else before["i"] if stack[-1][0] < x["v"] else before["psv"]
+                    found.append({"i": x["i"], "psv": psv, "nsv": None})
+                    stack.append((x["v"], found[-1]))
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(out, kind)], names=[*keys, "x"])
+
+    flat = lists.mapInArrow(run, schema).select(*keys, F.explode("x").alias("x"))
+    return flat.select(*keys, F.col("x.i").alias(i), "x.psv", "x.nsv")
 
 
 def match_parentheses(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlight.sources import stored
+
 
 def sort_suffixes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, longest common prefix of each suffix with the one before) by prefix doubling."""
@@ -61,6 +63,34 @@ def suffix_table(texts: DataFrame, keys: Sequence[str], text_col: str = "text",
     return flat.select(*keys, F.col("sa_rank").cast("long").alias("sa_rank"), F.col("x.p").alias("sa_pos"), F.col("x.l").alias("lcp"), F.col("x.c").alias("symbol"), F.col("x.b").alias("bwt"))
 
 
+def long_suffix_array(texts: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
+    """keys, sa_rank, sa_pos by prefix doubling over all positions: for texts that one task cannot sort.
+
+    A rank counts the suffixes of the text that are smaller by their first 2^k symbols.
+    Suffixes that share it are told apart by the rank 2^k places on; pairs of ranks are
+    counted first, and summed in two levels. Lineage is cut after every step.
+    """
+    at = Window.partitionBy(*keys, "p", "span").orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
+    spans_before = Window.partitionBy(*keys, "p").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        """rows (keys, pos, p, q) with the rank by p and q."""
+        pairs = rows.groupBy(*keys, "p", "q").agg(F.count(F.lit(1)).alias("n")).withColumn("span", F.floor(F.col("q") / (1 << 16)))
+        spans = pairs.groupBy(*keys, "p", "span").agg(F.sum("n").alias("n")).select(*keys, "p", "span", before(spans_before).alias("s"))
+        ranks = pairs.withColumn("within", before(at)).join(spans, [*keys, "p", "span"]).select(*keys, "p", "q", "n", (F.col("p") + F.col("s") + F.col("within")).alias("r"))
+        return stored.checkpointed(rows.join(ranks, [*keys, "p", "q"]).select(*keys, "pos", "r", F.col("n").alias("same")))
+
+    source = texts.filter(F.length(text_col) > 0).select(*keys, F.posexplode(F.split(text_col, "")).alias("pos", "c"))
+    now = ranked(source.filter("c <> ''").select(*keys, F.col("pos").cast("long").alias("pos"), F.lit(0).cast("long").alias("p"), F.conv(F.hex(F.encode("c", "UTF-32")), 16, 10).cast("long").alias("q")))
+    step = 1
+    while (now.agg(F.max("same")).first()[0] or 1) > 1:
+        ahead = now.select(*keys, (F.col("pos") - step).alias("pos"), F.col("r").alias("q"))
+        now = ranked(now.select(*keys, "pos", F.col("r").alias("p")).join(ahead, [*keys, "pos"], "left").select(*keys, "pos", "p", F.coalesce("q", F.lit(-1).cast("long")).alias("q")))
+        step *= 2
+    return now.select(*keys, F.col("r").alias("sa_rank"), F.col("pos").alias("sa_pos"))
+
+
 def _collection_ranks(ids: Sequence, texts: Sequence[str]) -> list[tuple]:
     """(id, pos) of all suffixes in order; of equal suffixes the one of the text that comes first."""
     parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + len(texts) for t in texts]
@@ -144,7 +174,6 @@ def bwt_runs(table: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _grow_intervals(lcps: list[int]) -> list[tuple[int, int, int, int, int]]:
     """(lo, hi, depth, parent lo, parent hi) of every inner node, from the lcp values, with a stack."""
     out, stack = [], [(0, 0)]  # (depth, lo)
-    closed: dict[tuple[int, int], tuple[int, int]] = {}
     n = len(lcps)
     order = []
     for i in range(1, n + 1):
@@ -163,7 +192,6 @@ def _grow_intervals(lcps: list[int]) -> list[tuple[int, int, int, int, int]]:
         p = path[-1] if path else (-1, -1, -1)
         out.append((lo, hi, depth, p[0], p[1]))
         path.append((lo, hi, depth))
-    del closed
     return out
 
 
@@ -185,12 +213,6 @@ def tree_nodes(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return lists.mapInArrow(_nodes, schema).select(*keys, F.explode("nodes").alias("n")).select(*keys, "n.*")
 
 
-def lowest_common(nodes: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """pairs (keys, i, j: ranks) with lo, hi, depth of the lowest node that holds both."""
-    met = pairs.join(nodes, list(keys)).filter((F.col("lo") <= F.least("i", "j")) & (F.col("hi") >= F.greatest("i", "j")))
-    return met.groupBy(*keys, "i", "j").agg(F.max(F.struct("depth", "lo", "hi")).alias("b")).select(*keys, "i", "j", "b.lo", "b.hi", "b.depth")
-
-
 def node_depths(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, lo, hi, node_depth: how many nodes lie above; by pointer doubling over parents."""
     now = nodes.select(*keys, "lo", "hi", F.col("parent_lo").alias("a"), F.col("parent_hi").alias("b"), F.when(F.col("parent_lo") < 0, 0).otherwise(1).alias("d"))

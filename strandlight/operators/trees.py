@@ -7,6 +7,7 @@ lookups. No shuffle is needed, and a long text costs no more than its own tables
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
@@ -169,6 +170,46 @@ def edge_classes(texts: DataFrame, keys: Sequence[str], text_col: str = "text")
     return per_text(texts, keys, find, "lo long, hi long, symbol string, kind string", text_col)
 
 
+def edges(texts: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
+    """keys, lo, hi, ch, n_leaves, kind of every edge below every inner node: its first symbol, the leaves under it, and
+    what it leads to (end, inner or leaf)."""
+
+    def find(text: str) -> Iterator[tuple]:
+        t = Tree(text)
+        for v, below in t.children.items():
+            for w in below:
+                size, ch = t.nodes[w][1] - t.nodes[w][0] + 1, t.symbol(w)
+                yield *t.nodes[v][:2], ch, size, "end" if not ch else "inner" if size > 1 else "leaf"
+
+    return per_text(texts, keys, find, "lo long, hi long, ch string, n_leaves long, kind string", text_col)
+
+
+def lowest_common(texts: DataFrame, pairs: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
+    """pairs (keys, i, j: ranks) with lo, hi, depth of the lowest node that holds both: the node whose depth is the least
+    common prefix between them, found by two lookups in a sparse table and a bisection."""
+    asked = pairs.groupBy(*keys).agg(F.collect_list(F.struct("i", "j")).alias("asked"))
+    rows = texts.join(asked, list(keys)).select(*keys, F.to_json(F.struct(F.col(text_col).alias("text"), "asked")).alias("__t"))
+
+    def find(row: str) -> Iterator[tuple]:
+        x = json.loads(row)
+        t = Tree(x["text"])
+        least = [np.array(t.lcp)]
+        while 2 << len(least) <= t.n + 1:
+            half = 1 << len(least) - 1
+            least.append(np.minimum(least[-1][:-half], least[-1][half:]))
+        for ask in x["asked"]:
+            i, j = sorted((ask["i"], ask["j"]))
+            if i == j:
+                yield ask["i"], ask["j"], i, i, t.n - t.sa[i]
+                continue
+            k = (j - i).bit_length() - 1
+            depth = int(min(least[k][i + 1], least[k][j - (1 << k) + 1]))
+            at = t.level[depth]
+            yield ask["i"], ask["j"], *t.nodes[at[bisect_right(at, (i, len(t.nodes))) - 1][1]]
+
+    return per_text(rows, keys, find, "i long, j long, lo long, hi long, depth long", "__t")
+
+
 def node_entropy(texts: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
     """keys, lo, hi, entropy: bits a symbol of what follows each inner node's string."""
 
@@ -259,8 +300,6 @@ def enclosing_pairs(bits: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> D
     rows = bits.join(asked, list(keys)).select(*keys, F.to_json(F.struct("parens", "asked")).alias("__t"))
 
     def find(text: str) -> Iterator[tuple]:
-        import json
-
         x = json.loads(text)
         up: list[int] = []
         stack: list[int] = []

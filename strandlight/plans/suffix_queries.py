@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlight.operators import suffixes as sx
+from strandlight.operators import trees
 from strandlight.plans.registry import query, read
 
 K = ["item_id"]
@@ -16,7 +17,6 @@ LONGEST = 12
 SX = """with p as (select item_id, text t, length(text) n, unnest(range(0, length(text))) sa_pos from benchmark),
 s as (select *, substr(t, sa_pos + 1) sfx from p),
 sx as (select *, row_number() over (partition by item_id order by sfx) - 1 sa_rank from s)"""
-_COMMON = """(select coalesce(max(k), 0) from range(1, least(length(sfx), length(before)) + 1) r(k) where left(sfx, k) = left(before, k))"""
 LCP = SX + """, l0 as (select *, lag(sfx) over (partition by item_id order by sa_rank) before from sx),
 lx as (
   select item_id, sa_rank, sa_pos, t, n,
@@ -41,6 +41,12 @@ def suffix_array(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d).select(*K, "sa_rank", "sa_pos")
 
 
+@query("suffix_array_long", SX + " select item_id, sa_rank, sa_pos from sx")
+def suffix_array_long(spark: SparkSession, d: str) -> DataFrame:
+    """The same by doubling over all tasks, as a text needs that one task cannot sort."""
+    return sx.long_suffix_array(_texts(spark, d), K)
+
+
 @query("suffix_array_reverse", """with r as (select item_id, string_agg(c, '' order by i desc) text from (
     select item_id, i, substr(text, i, 1) c from benchmark, lateral (select unnest(range(1, length(text) + 1)) i)) group by 1),
   p as (select item_id, text t, unnest(range(0, length(text))) sa_pos from r)
@@ -126,7 +132,7 @@ def st_lca(spark: SparkSession, d: str) -> DataFrame:
     table = _table(spark, d)
     n = F.count(F.lit(1)).over(Window.partitionBy(*K))
     pairs = table.withColumn("n", n).filter("sa_rank + 3 < n").select(*K, F.col("sa_rank").alias("i"), (F.col("sa_rank") + 3).alias("j"))
-    return sx.lowest_common(sx.tree_nodes(table, K), pairs, K)
+    return trees.lowest_common(_texts(spark, d), pairs, K)
 
 
 @query("st_depth", NODES + " select item_id, depth, count(*) n_nodes, sum(hi - lo + 1)::bigint n_leaves from nd group by all")
@@ -138,12 +144,7 @@ def st_depth(spark: SparkSession, d: str) -> DataFrame:
   select *, case when ch = '' then 'end' when n_leaves > 1 then 'inner' else 'leaf' end kind from (select item_id, lo, hi, ch, count(*) n_leaves from e group by all)""")
 def st_edges(spark: SparkSession, d: str) -> DataFrame:
     """Every edge below every node: its first symbol, the leaves under it, and what it leads to."""
-    table = _table(spark, d)
-    nodes = sx.tree_nodes(table, K).select(*K, "lo", "hi", "depth")
-    both = nodes.join(table.select(*K, "sa_rank", "sa_pos"), K).filter("sa_rank between lo and hi").join(_texts(spark, d).select(*K, F.col("text").alias("t")), K)
-    ch = F.col("t").substr((F.col("sa_pos") + F.col("depth") + 1).cast("int"), F.lit(1))
-    edges = both.select(*K, "lo", "hi", ch.alias("ch")).groupBy(*K, "lo", "hi", "ch").agg(F.count(F.lit(1)).alias("n_leaves"))
-    return edges.withColumn("kind", F.when(F.col("ch") == "", "end").when(F.col("n_leaves") > 1, "inner").otherwise("leaf"))
+    return trees.edges(_texts(spark, d), K)
 
 
 _GRAMS = f"""with p as (select item_id, text t, unnest(range(1, length(text) + 1)) i from benchmark),

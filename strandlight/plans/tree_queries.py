@@ -77,10 +77,10 @@ def st_edge_classes(spark: SparkSession, d: str) -> DataFrame:
     return trees.edge_classes(_texts(spark, d), K)
 
 
-@query("st_entropy", KIDS + """ select item_id, lo, hi, sum(-s * log2(s)) + 0.0 entropy
+@query("st_entropy", KIDS + """ select item_id, lo, hi, round(sum(-s * log2(s)), 9) + 0.0 entropy
   from (select item_id, lo, hi, (c_hi - c_lo + 1)::double / (hi - lo + 1) s from kid) group by all""")
 def st_entropy(spark: SparkSession, d: str) -> DataFrame:
-    return trees.node_entropy(_texts(spark, d), K).withColumn("entropy", F.col("entropy"))
+    return trees.node_entropy(_texts(spark, d), K).withColumn("entropy", F.round("entropy", 9))
 
 
 _ASKED = f"q as (select unnest([{', '.join(repr(p) for p in PATTERNS)}]) pattern), st as (select pattern, unnest(range(1, length(pattern) + 1)) step from q)"

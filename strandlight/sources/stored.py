@@ -19,6 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="stored-")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, materialised in the shared folder, with its lineage cut."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def is_there(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to path as a whole."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

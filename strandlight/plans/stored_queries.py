@@ -11,7 +11,7 @@ from strandlight.operators import ranges, vectors
 from strandlight.operators import suffixes as sx
 from strandlight.plans.ms_queries import _MAX, _SUM, CODE, FREQ, KEYS, MS, _bits, _freq, _ms, _ranges
 from strandlight.plans.registry import query
-from strandlight.plans.suffix_queries import NODES, K, _texts
+from strandlight.plans.suffix_queries import GRAMS, NODES, K, _texts
 from strandlight.sources import stored
 
 
@@ -45,15 +45,7 @@ def topology_load(spark: SparkSession, d: str) -> DataFrame:
     return stored.load_or_build(spark, path, lambda: _topology(spark, d).limit(0), K)
 
 
-#: Repeats of any length. A gram that does not occur twice cannot be one, so lengths go as far as some gram does.
-REPEATS = """with recursive p as (select item_id, text t, unnest(range(1, length(text) + 1)) i from benchmark),
-r(item_id, l, i) as (
-  select item_id, 1, i from p
-  union all
-  select item_id, l + 1, unnest(case when count(*) > 1 then list(i) else [] end) from (
-    select r.item_id, l, r.i, substr(t, r.i::int, l::int + 1) g, length(t) n from r join p on p.item_id = r.item_id and p.i = r.i) where i + l <= n group by item_id, l, g),
-x as (select r.item_id, substr(t, r.i::int, r.l::int) gram, substr(t, (r.i + r.l)::int, 1) nx, case when r.i > 1 then substr(t, (r.i - 1)::int, 1) else '' end pv from r join p on p.item_id = r.item_id and p.i = r.i)
-select item_id, gram, count(*) n from x group by all having count(distinct nx) > 1 and count(distinct pv) > 1"""
+REPEATS = GRAMS + " select item_id, gram, n from r where n_next > 1 and n_prev > 1"
 
 
 @query("maxrep_dump", REPEATS)

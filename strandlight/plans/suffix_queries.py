@@ -10,8 +10,6 @@ from strandlight.operators import trees
 from strandlight.plans.registry import query, read
 
 K = ["item_id"]
-#: Longest repeat that the SQL lists; the queries list all.
-LONGEST = 12
 
 #: sx(item_id, t, n, sa_pos, sfx, sa_rank)
 SX = """with p as (select item_id, text t, length(text) n, unnest(range(0, length(text))) sa_pos from benchmark),
@@ -147,18 +145,24 @@ def st_edges(spark: SparkSession, d: str) -> DataFrame:
     return trees.edges(_texts(spark, d), K)
 
 
-_GRAMS = f"""with p as (select item_id, text t, unnest(range(1, length(text) + 1)) i from benchmark),
-g as (select item_id, substr(t, i, l) gram, substr(t, i + l, 1) nx, case when i > 1 then substr(t, i - 1, 1) else '' end pv
-      from p, lateral (select unnest(range(1, {LONGEST + 1})) l) where i + l - 1 <= length(t)),
-r as (select item_id, gram, count(*) n, count(distinct nx) n_next, count(distinct pv) n_prev from g group by all)"""
+#: r(item_id, gram, n, n_next, n_prev): repeats of any length. A gram that does not occur twice has no longer repeat, so
+#: lengths go as far as some gram occurs twice; single symbols are all there.
+GRAMS = """with recursive p as (select item_id, text t, unnest(range(1, length(text) + 1)) i from benchmark),
+g(item_id, l, i) as (
+  select item_id, 1, i from p
+  union all
+  select item_id, l + 1, unnest(case when count(*) > 1 then list(i) else [] end) from (
+    select g.item_id, l, g.i, substr(t, g.i::int, l::int + 1) w, length(t) n from g join p on p.item_id = g.item_id and p.i = g.i) where i + l <= n group by item_id, l, w),
+x as (select g.item_id, substr(t, g.i::int, g.l::int) gram, substr(t, (g.i + g.l)::int, 1) nx, case when g.i > 1 then substr(t, (g.i - 1)::int, 1) else '' end pv from g join p on p.item_id = g.item_id and p.i = g.i),
+r as (select item_id, gram, count(*) n, count(distinct nx) n_next, count(distinct pv) n_prev from x group by all)"""
 
 
-@query("maximal_repeats", _GRAMS + " select item_id, gram, n from r where n_next > 1 and n_prev > 1")
+@query("maximal_repeats", GRAMS + " select item_id, gram, n from r where n_next > 1 and n_prev > 1")
 def maximal_repeats(spark: SparkSession, d: str) -> DataFrame:
     return sx.maximal_repeats(_texts(spark, d), K)
 
 
-@query("right_maximal", _GRAMS + " select item_id, gram, n from r where n_next > 1")
+@query("right_maximal", GRAMS + " select item_id, gram, n from r where n_next > 1")
 def right_maximal(spark: SparkSession, d: str) -> DataFrame:
     return sx.right_maximal(_texts(spark, d), K)
 

@@ -158,13 +158,6 @@ def c_array(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return n.select(*keys, "symbol", F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("c"))
 
 
-def sa_intervals(table: DataFrame, texts: DataFrame, patterns: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
-    """keys, pattern, lo, hi, n: the ranks of suffixes that begin with each pattern."""
-    both = table.join(texts.select(*keys, F.col(text_col).alias("__t")), list(keys)).join(F.broadcast(patterns.select("pattern").distinct()), F.col("symbol") == F.substring("pattern", 1, 1))
-    hit = both.filter(F.col("__t").substr((F.col("sa_pos") + 1).cast("int"), F.length("pattern")) == F.col("pattern"))
-    return hit.groupBy(*keys, "pattern").agg(F.min("sa_rank").alias("lo"), F.max("sa_rank").alias("hi"), F.count(F.lit(1)).alias("n"))
-
-
 def bwt_runs(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("sa_rank")
     new = table.withColumn("__new", F.coalesce((F.col("bwt") != F.lag("bwt").over(w)).cast("long"), F.lit(1).cast("long")))

@@ -276,6 +276,21 @@ def search(texts: DataFrame, patterns: Sequence[str], keys: Sequence[str], way:
     return out if way == "both" else out.drop("r_lo", "r_hi")
 
 
+def intervals(texts: DataFrame, patterns: Sequence[str], keys: Sequence[str], text_col: str = "text") -> DataFrame:
+    """keys, pattern, lo, hi, n: the ranks of suffixes that begin with each pattern that occurs, by forward search."""
+
+    def find(text: str) -> Iterator[tuple]:
+        t = Tree(text)
+        for p in sorted(set(patterns) - {""}):
+            now: Interval | None = (0, t.n - 1)
+            for k, c in enumerate(p):
+                now = now and t.narrow(*now, k, c)
+            if now:
+                yield p, *now, now[1] - now[0] + 1
+
+    return per_text(texts, keys, find, "pattern string, lo long, hi long, n long", text_col)
+
+
 def enclosing(parens: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, i, excess (open ones up to i), enclose of parentheses (keys, i, mate, level).
 

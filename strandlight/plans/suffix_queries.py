@@ -87,8 +87,7 @@ PATTERNS = ("th", "ing", "an ", "e", "tion", "zzz", "öß")
 @query("sa_interval", SX + f""", q as (select unnest([{', '.join(repr(p) for p in PATTERNS)}]) pattern)
   select item_id, pattern, min(sa_rank) lo, max(sa_rank) hi, count(*) n from sx join q on starts_with(sfx, pattern) group by all""")
 def sa_interval(spark: SparkSession, d: str) -> DataFrame:
-    patterns = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
-    return sx.sa_intervals(_table(spark, d), _texts(spark, d), patterns, K)
+    return trees.intervals(_texts(spark, d), PATTERNS, K)
 
 
 @query("index_table", LCP + """ select l.item_id, l.sa_rank, l.sa_pos, l.lcp, substr(l.t, l.sa_rank + 1, 1) symbol,

@@ -51,3 +51,18 @@ def test_stream_of_queries(spark, tmp_path):
     run = score_stream(texts, stream, ["qid"]).writeStream.format("memory").queryName("scored").trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert sorted(tuple(r) for r in spark.sql("select * from scored").collect()) == [(1, 4, 4, 10), (2, 2, 0, 0)]
+
+
+def test_patterns_in_parts_and_one_by_one(spark, monkeypatch):
+    from strandlight.operators import documents
+
+    r = random.Random(3)
+    texts = [(i, "".join(r.choice("ab\n") for _ in range(r.randrange(0, 60)))) for i in range(20)] + [(20, None)]
+    patterns = ["a", "ab", "aba", "bb", "b\na", "zz", "", "a" * 5]
+    docs, asked = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(p,) for p in patterns + ["a"]], "pattern string")
+    want = sorted((i, p, k) for i, t in texts for p in set(patterns) - {""} for k in range(len(t or "")) if t.startswith(p, k))
+    for chars, module in ((1_000_000, documents.ahocorasick), (10, documents.ahocorasick), (10, None)):
+        monkeypatch.setattr(documents, "PATTERN_CHARS", chars)
+        monkeypatch.setattr(documents, "ahocorasick", module)
+        assert sorted(map(tuple, documents.locate(docs, asked, ["doc_id"]).collect())) == want
+    assert documents.counts(docs, asked.limit(0), ["doc_id"]).count() == 0

@@ -190,7 +190,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """
     docs = docs.drop("lang_pred", "score", "lang_shares")
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("lang_shares", MapType(StringType(), DoubleType()))]
-    return docs.mapInArrow(_predictor(model, text_col), StructType([*docs.schema.fields, *added]))
+    plain = [f"c{k}" for k in range(len(docs.columns))]  # names with dots cannot go through Arrow
+    fields = [StructField(n, f.dataType) for n, f in zip(plain, docs.schema.fields, strict=True)]
+    text = plain[docs.columns.index(text_col)]
+    return docs.toDF(*plain).mapInArrow(_predictor(model, text), StructType([*fields, *added])).toDF(*docs.columns, *(f.name for f in added))
 
 
 def _fold(column: str = "doc_id") -> Column:

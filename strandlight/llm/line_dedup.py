@@ -98,7 +98,11 @@ def _depths(tokens: DataFrame, min_words: int) -> DataFrame:
 
 
 def later_copies(positions: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(k1, k2, first, last): maximal runs of lines that copy earlier ones, a run having min_words words or more."""
+    """(k1, k2, first, last): maximal runs of lines that copy earlier ones, a run having min_words words or more.
+
+    Ranks go as deep as the shortest runs of min_words words; the intervals of these depths
+    decide every deletion, and maximal runs are the joins of runs that overlap or touch.
+    """
     tokens = cut(_depths(repeated_positions(positions), min_words))
     deepest = tokens.agg(F.max("longest")).first()[0] or 0
     levels = max(0, deepest.bit_length() - 1)  # runs of depth L are named by two of 2^k <= L lines

@@ -178,12 +178,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_OF_CLASS) -> Model:
     """Fit on all passages of at most sample rows of each class: those of labels with the least hash of the id.
 
-    Labels other than 0 and 1, and null ids, are passed over.
+    Labels other than 0 and 1, and null ids, are passed over. Of documents that share an id
+    the one with the least text is learned.
     """
     rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     least = lambda label: rows.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample)
     chosen = least(0).unionAll(least(1))  # a top-k each: every task passes on sample rows at most
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "label", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # repeated ids must not multiply the sample
     found = texts.mapInArrow(_features, "doc_id long, label int, n int, at binary, x binary").toArrow().sort_by([("doc_id", "ascending"), ("at", "ascending"), ("x", "ascending")])
     bags = [Bag(n.as_py(), np.frombuffer(at.as_buffer(), np.uint32), np.frombuffer(x.as_buffer(), np.float32)) for n, at, x in zip(found.column("n"), found.column("at"), found.column("x"), strict=True)]
     return fit(bags, np.array(found.column("label").to_pylist(), np.float32))

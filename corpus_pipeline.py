@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlight.llm import decontamination, language_id, line_dedup, near_dedup, packing
@@ -19,17 +19,22 @@ from strandlight.llm.common import broadcast_if_small, checkpoint_folder, cut, f
 SHINGLE_WORDS, PERCENT = 5, 80
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs, also those with a dot in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """changed with docs' columns only; n_chars, where there is one, follows the text."""
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+    return changed.select(*_columns(docs))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told. Null texts and texts without letters go."""
     model = language_id.train_on_folds(docs)
-    return language_id.identify(docs, model).filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    return language_id.identify(docs, model).filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*_columns(docs))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +59,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(broadcast_if_small(gone), on, "left_anti")
     if not again.isEmpty():
         one = kept.join(broadcast_if_small(again), on).dropDuplicates([n1, n2])
-        kept = kept.join(broadcast_if_small(again), on, "left_anti").unionByName(one.select(*docs.columns))
-    return kept.select(*docs.columns)
+        kept = kept.join(broadcast_if_small(again), on, "left_anti").unionByName(one.select(*_columns(docs)))
+    return kept.select(*_columns(docs))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*_columns(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,21 @@ def test_an_empty_table_runs_through(spark, tmp_path):
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_long_texts_odd_rows_and_more_columns(spark, tmp_path):
+    r = random.Random(22)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    long = "\n".join(" ".join(word() for _ in range(12)) for _ in range(12_000))
+    texts = [(0, long), (1, long[: len(long) // 2]), (2, "x" * 300_000), (3, ""), (None, "one word"), (None, None), (4, "ab " * 100_000), (5, "\n" * 1000 + "z")]
+    docs = spark.createDataFrame([(i, t, "en", 1, 2, "k") for i, t in texts], "doc_id long, text string, lang string, `__k1` int, k1 int, `a.b` string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, " ".join(word() for _ in range(20))), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
+        now = spark.read.parquet(str(tmp_path / f"out{k}"))
+        assert now.columns == docs.columns
+    kept = [x.doc_id for x in now.collect()]
+    assert sorted(kept, key=str) == [0, 2, 4, 5, None]
+    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 5

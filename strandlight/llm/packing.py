@@ -169,8 +169,9 @@ def _runner(path: str, window: int, end_id: int) -> Callable[[Iterator[pa.Record
             docs = b.column(0).to_pylist()
             for doc, ids in zip(docs, encode(x.as_py() or "" for x in b.column(1)), strict=True):
                 packer.add((doc, len(ids) // 4 + 1), ids + end)
-                if held > 8 << 20:
+                if held > 2 << 20:
                     yield flush()
+            del b, docs  # before the next batch comes
         packer.finish()
         yield flush()
 

@@ -22,10 +22,10 @@ PLAIN = 0x250
 #: Bytes of the longest word that is merged in step; a longer one goes to the tokenizer.
 LONGEST = 64
 #: Bytes that the ids of known words may take, keys and objects included; then all are forgotten.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 24 << 20
 #: Code points that are encoded at a time.
-CHUNK = 1 << 20
-_SHIFT = 13  # tables of pairs have 2^(32 - 13) slots
+CHUNK = 1 << 18
+_SHIFT = 15  # tables of pairs have 2^(32 - 15) slots
 _SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
 
 
@@ -139,9 +139,11 @@ class WordIds:
         starts = np.concatenate([[0], np.flatnonzero(space) + 1])
         lengths = np.diff(np.append(starts, len(flat) + 1)) - 1
         plain = (np.maximum.reduceat(np.append(np.where(kind == _OTHER, 1, 0), 0), starts) == 0) & (lengths <= LONGEST)
-        rest = np.flatnonzero(~plain)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-            self._keep(words[i], np.array(e.ids, "<u4").tobytes())
+        rest = np.flatnonzero(~plain).tolist()
+        for k in range(0, len(rest), 512):  # the tokenizer's own results are large
+            some = [words[i] for i in rest[k : k + 512]]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self._keep(word, np.array(e.ids, "<u4").tobytes())
         if not plain.any():
             return
         owner = np.repeat(np.arange(len(words)), lengths)  # the word of each code point

@@ -29,6 +29,8 @@ BANDS, ROWS = 30, 5
 PIVOTS, GROWTH = 64, 16
 #: Members of a bucket beyond which their own shingles are counted, to rule pairs out.
 LARGE = 32
+#: Shingles of large buckets that a task counts at a time, before they are dealt out.
+COUNTED = 1 << 20
 #: Longs of a bitmap of a set's shingles, for a bound on what two sets share.
 BITMAP = 16
 #: Bytes of sets that are broadcast to verify a round's pairs; with more, pairs and sets meet by a shuffle.
@@ -160,6 +162,27 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(with_b.select("a", "b", "set_a", "set_b").mapInArrow(_verifier(percent), "a long, b long"))
 
 
+def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each shingle stands in the sets of a task, and some id that has it; counted by COUNTED at a time."""
+
+    def counted(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, at, times = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+        owner = np.repeat(np.array(ids, np.int64), [len(x) for x in sets])
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int64)), pa.array(owner[at])], names=["shingle", "times", "id"])
+
+    ids, sets, size = [], [], 0
+    for b in batches:
+        for i, x in zip(b.column("id").to_pylist(), b.column("set"), strict=True):
+            ids.append(i)
+            sets.append(x.values.to_numpy().copy())
+            size += len(sets[-1])
+            if size >= COUNTED:
+                yield counted(ids, sets)
+                ids, sets, size = [], [], 0
+    if sets:
+        yield counted(ids, sets)
+
+
 def _open(members: DataFrame, done: int = 0) -> DataFrame:
     """members of the buckets that span several components and have pairs left, with the bucket's size and least n."""
     spans = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size"), F.min("n").alias("least_n"))
@@ -176,9 +199,11 @@ def _bounded(alive: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     there. In buckets up to LARGE own is 0. Bits that only one of two classes has each
     stand for a shingle that only one of them has.
     """
-    crowd = cut(alive.filter(F.col("size") > LARGE).select("id").distinct())
-    flat = sets.join(broadcast_if_small(crowd), "id", "left_semi").select("id", F.explode_outer("set").alias("shingle"))
-    once = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id")).filter("times = 1")
+    crowd = cut(alive.filter(F.col("size") > LARGE).select("id", "n").distinct())
+    shingles_there = crowd.agg(F.sum("n")).first()[0] or 0
+    held = sets.join(broadcast_if_small(crowd.select("id")), "id", "left_semi").select("id", "set")
+    counts = held.coalesce(max(1, -(-shingles_there // COUNTED))).mapInArrow(_count_shingles, "shingle long, times long, id long")
+    once = counts.groupBy("shingle").agg(F.sum("times").alias("times"), F.min("id").alias("id")).filter("times = 1")
     own = cut(once.groupBy("id").agg(F.count(F.lit(1)).alias("own")))
     with_own = alive.join(broadcast_if_small(own), "id", "left").withColumn("own", F.when(F.col("size") > LARGE, F.coalesce("own", F.lit(0))).otherwise(0).cast("long"))
     near = cut(with_own.filter(100 * (F.col("n") - F.col("own")) >= percent * (F.col("own") + F.col("least_n"))))

@@ -3,26 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 _FIB = [1, 2]
 while _FIB[-1] < 1 << 62:
     _FIB.append(_FIB[-1] + _FIB[-2])
 
 
-@lru_cache(1 << 16)
 def gamma(x: int) -> str:
     digits = f"{x:b}"
     return "0" * (len(digits) - 1) + digits
 
 
-@lru_cache(1 << 16)
 def delta(x: int) -> str:
     digits = f"{x:b}"
     return gamma(len(digits)) + digits[1:]
 
 
-@lru_cache(1 << 16)
 def nibble(x: int) -> str:
     """Groups of three digits, the highest first, each after a 1 if another group follows and a 0 if not."""
     digits = f"{x:b}"
@@ -31,7 +27,6 @@ def nibble(x: int) -> str:
     return "".join("1" + g for g in groups[:-1]) + "0" + groups[-1]
 
 
-@lru_cache(1 << 16)
 def fibonacci(x: int) -> str:
     """A 1 for each Fibonacci number of the greedy sum, the smallest first, and a 1 to end."""
     out = ["1"]
@@ -41,7 +36,6 @@ def fibonacci(x: int) -> str:
     return "".join(reversed(out))
 
 
-@lru_cache(1 << 16)
 def comma(x: int, width: int = 2) -> str:
     """Digits in base 2^width - 1, of width bits each, and one more of ones."""
     base, out = (1 << width) - 1, []

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
+def _meet(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join that broadcasts neither side: the planner's estimates follow the compressed vectors, not their positions."""
+    return left.join(right.hint("merge"), list(on), how)
+
+
 def _pieces(ranges: DataFrame, block: int) -> DataFrame:
     """Each range once for every block of positions that it meets, so that a range join is an equality on the block."""
     from_ = F.greatest(F.col("from_idx"), F.lit(0))
@@ -21,11 +26,11 @@ def _pieces(ranges: DataFrame, block: int) -> DataFrame:
 
 def _within(ms: DataFrame, ranges: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
     left = ms.withColumn("block", F.floor(F.col("pos") / block))
-    return left.join(_pieces(ranges, block), [*keys, "block"]).filter((F.col("pos") >= F.col("from_idx")) & (F.col("pos") < F.col("to_idx")))
+    return _meet(left, _pieces(ranges, block), [*keys, "block"]).filter((F.col("pos") >= F.col("from_idx")) & (F.col("pos") < F.col("to_idx")))
 
 
 def _answer(ranges: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return ranges.join(found, [*keys, "range_id"], "left")
+    return _meet(ranges, found, [*keys, "range_id"], "left")
 
 
 def range_sum(ms: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -51,7 +56,7 @@ def sum_over_runs(runs: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> Da
     runs = runs.select(*keys, "first", "n", "top", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("n") - 1) / BLOCK))).alias("block"))
     a = F.greatest("first", "from_idx", F.col("block") * BLOCK)
     z = F.least(F.col("first") + F.col("n"), F.col("to_idx"), (F.col("block") + 1) * BLOCK)
-    met = runs.join(_pieces(ranges, BLOCK), [*keys, "block"]).withColumns({"a": a, "len": z - a}).filter("len > 0")
+    met = _meet(runs, _pieces(ranges, BLOCK), [*keys, "block"]).withColumns({"a": a, "len": z - a}).filter("len > 0")
     base = F.col("top") - (F.col("a") - F.col("first"))
     part = base * F.col("len") - F.floor(F.col("len") * (F.col("len") - 1) / 2)
     return _answer(ranges, met.groupBy(*keys, "range_id").agg(F.sum(part).alias("sum")), keys)
@@ -88,7 +93,7 @@ def range_max_runs(ms: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> Dat
 def max_over_runs(runs: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """As range_max_runs, from the runs (as `islands` gives them)."""
     runs = runs.select(*keys, "first", "n", "top", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("n") - 1) / BLOCK))).alias("block"))
-    met = runs.join(_pieces(ranges, BLOCK), [*keys, "block"]).withColumn("pos", F.greatest("first", "from_idx")).filter((F.col("pos") < F.col("first") + F.col("n")) & (F.col("pos") < F.col("to_idx")))
+    met = _meet(runs, _pieces(ranges, BLOCK), [*keys, "block"]).withColumn("pos", F.greatest("first", "from_idx")).filter((F.col("pos") < F.col("first") + F.col("n")) & (F.col("pos") < F.col("to_idx")))
     return _answer(ranges, _best(met.withColumn("ms", F.col("top") - (F.col("pos") - F.col("first"))), keys), keys)
 
 
@@ -111,7 +116,7 @@ def range_max_indexed(ms: DataFrame, ranges: DataFrame, keys: Sequence[str], blo
     range, so the lookups are equality joins whatever the range's length.
     """
     size = ms.groupBy(*keys).agg((F.max("pos") + 1).alias("__m"))
-    cut = _whole_blocks(ranges.join(size, list(keys)).withColumn("to_idx", F.least("to_idx", "__m")), block)
+    cut = _whole_blocks(_meet(ranges, size, keys).withColumn("to_idx", F.least("to_idx", "__m")), block)
     ids = [*keys, "range_id"]
     edge = cut.select(*ids, F.explode(F.when(F.col("__lo") < F.col("__hi"), F.array(F.struct(F.col("from_idx").alias("a"), (F.col("__lo") * block).alias("z")), F.struct((F.col("__hi") * block).alias("a"), F.col("to_idx").alias("z")))).otherwise(F.array(F.struct(F.col("from_idx").alias("a"), F.col("to_idx").alias("z"))))).alias("e"))
     edges = edge.select(*keys, F.col("range_id"), F.greatest(F.col("e.a"), F.lit(0)).alias("from_idx"), F.col("e.z").alias("to_idx")).filter("to_idx > from_idx")
@@ -126,7 +131,7 @@ def range_max_indexed(ms: DataFrame, ranges: DataFrame, keys: Sequence[str], blo
     levels = max(1, widest).bit_length()
     inner = cut.filter("__hi > __lo").withColumn("k", F.floor(F.log2(F.col("__hi") - F.col("__lo")) + 1e-9).cast("int"))
     inner = inner.select(*ids, "k", F.explode(F.array(F.col("__lo"), F.col("__hi") - F.expr("shiftleft(1, k)"))).alias("block"))
-    looked = inner.join(tab, [*keys, "block"]).select(*ids, F.coalesce(*(F.when(F.col("k") == i, F.col(f"b{i}")) for i in range(levels))).alias("b")).select(*ids, F.col("b.ms").alias("ms"), (-F.col("b.neg")).alias("pos"))
+    looked = _meet(inner, tab, [*keys, "block"]).select(*ids, F.coalesce(*(F.when(F.col("k") == i, F.col(f"b{i}")) for i in range(levels))).alias("b")).select(*ids, F.col("b.ms").alias("ms"), (-F.col("b.neg")).alias("pos"))
     return _answer(ranges, _best(scans.unionByName(looked), keys), keys)
 
 

@@ -70,8 +70,9 @@ def prefix_sums(ms: DataFrame, keys: Sequence[str]) -> DataFrame:
 def range_sum_indexed(index: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """By two lookups in prefix sums."""
     size = index.groupBy(*keys).agg(F.max("pos").alias("top"))
-    cut = ranges.join(size, list(keys), "left").withColumns({"__a": F.greatest(F.col("from_idx"), F.lit(0)) - 1, "__z": F.least(F.col("to_idx") - 1, F.col("top"))})
-    ends = cut.join(index.select(*keys, F.col("pos").alias("__z"), F.col("total").alias("hi")), [*keys, "__z"], "left").join(index.select(*keys, F.col("pos").alias("__a"), F.col("total").alias("lo")), [*keys, "__a"], "left")
+    cut = _meet(ranges, size, keys, "left").withColumns({"__a": F.greatest(F.col("from_idx"), F.lit(0)) - 1, "__z": F.least(F.col("to_idx") - 1, F.col("top"))})
+    ends = _meet(cut, index.select(*keys, F.col("pos").alias("__z"), F.col("total").alias("hi")), [*keys, "__z"], "left")
+    ends = _meet(ends, index.select(*keys, F.col("pos").alias("__a"), F.col("total").alias("lo")), [*keys, "__a"], "left")
     return ends.select(*ranges.columns, F.when(F.col("__z") > F.col("__a"), F.col("hi") - F.coalesce("lo", F.lit(0))).alias("sum"))
 
 

@@ -101,8 +101,9 @@ def printed(ms: DataFrame, keys: Sequence[str], column: str = "ms", start: int =
 
 
 def value_at(ms: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """points (keys, pos) with ms; a position outside the vector has none."""
-    return points.join(ms, [*keys, "pos"], "left")
+    """points (keys, pos) with ms; a position outside the vector has none. The rows of positions are never broadcast:
+    the planner takes them for as few as the compressed texts that they come from."""
+    return points.join(ms.hint("merge"), [*keys, "pos"], "left")
 
 
 def full_table(freq: DataFrame, queries: DataFrame, keys: Sequence[str], query_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ def plan(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["range_profile", "range_sum_rrr_indexed", "range_sum_succinct_indexed", "range_max_rrr_indexed"])
+@pytest.mark.parametrize("name", ["ms_at", "range_profile", "range_sum_rrr_indexed", "range_sum_succinct_indexed", "range_max_rrr_indexed"])
 def test_no_position_is_broadcast(spark, monkeypatch, name):
     monkeypatch.setattr(matching, "BROADCAST_ROWS", 0, raising=False)  # what was counted as few may be
     df = registry.QUERIES[name](spark, DATA)

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,9 @@ from pyspark.sql import functions as F
 AUTOMATON_CHARS = 1_000_000
 #: Code points of a piece of a query, pieces that are read in step, code points of queries that are handled together, and
 #: entries of a table of states and symbols.
-PIECE, AT_ONCE, BATCH_CHARS, DENSE = 1024, 4096, 1 << 23, 1 << 23
+PIECE, AT_ONCE, BATCH_CHARS, DENSE = 1024, 4096, 1 << 21, 1 << 23
+#: Rows that are broadcast at most.
+BROADCAST_ROWS = 500_000
 STRATEGIES = ("auto", "automaton", "seed", "prefix")
 
 
@@ -224,7 +228,7 @@ class Matcher:
         return out
 
 
-def _matching(matcher: Matcher) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _matching(matcher: Matcher, counted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.num_columns - 1)
@@ -232,8 +236,11 @@ def _matching(matcher: Matcher) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             for i in range(b.num_rows + 1):
                 if i == b.num_rows or held > BATCH_CHARS:
                     found = matcher.match([x.as_py() or "" for x in texts[begin:i]])
-                    columns = [*(c[begin:i] for c in b.columns[:-1]), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-1], "ms", "freq"])
+                    columns = [*(c[begin:i] for c in b.columns[:-1]), pa.array([x for x, _ in found], pa.list_(pa.int32()))]
+                    if counted:
+                        columns.append(pa.array([x for _, x in found], pa.list_(pa.int64())))
+                    del found
+                    yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-1], "ms", "freq"][: len(columns)])
                     begin, held = i, 0
                 if i < b.num_rows:
                     held += len(texts[i].as_py() or "")
@@ -245,8 +252,8 @@ def _schema(df: DataFrame, keys: Sequence[str], rest: str) -> str:
     return ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), rest])
 
 
-def ms_vectors(texts: DataFrame, queries: DataFrame, keys: Sequence[str], text_col: str = "text", query_col: str = "text") -> DataFrame:
-    """keys, ms (array<int>) and freq (array<long>) of each query, by an automaton of all texts that is built once.
+def ms_vectors(texts: DataFrame, queries: DataFrame, keys: Sequence[str], text_col: str = "text", query_col: str = "text", counted: bool = True) -> DataFrame:
+    """keys, ms (array<int>) and, if counted, freq (array<long>) of each query, by an automaton of all texts that is built once.
 
     The texts must have AUTOMATON_CHARS code points at most: they come to the driver, and
     the automaton goes to every worker. This is checked before.
@@ -257,7 +264,7 @@ def ms_vectors(texts: DataFrame, queries: DataFrame, keys: Sequence[str], text_c
     known = texts.select(F.col(text_col).alias("t")).filter("t is not null").groupBy("t").count().collect()
     index = [r[0] for r in sorted(known) for _ in range(r[1])]  # repeated texts count as often as they stand there
     rows = queries.select(*keys, F.col(query_col).cast("string"))
-    return rows.mapInArrow(_matching(Matcher(index)), _schema(queries, keys, "ms array<int>, freq array<bigint>"))
+    return rows.mapInArrow(_matching(Matcher(index), counted), _schema(queries, keys, "ms array<int>" + ", freq array<bigint>" * counted))
 
 
 def _chars(texts: DataFrame, text_col: str) -> int:
@@ -277,42 +284,60 @@ def positions(df: DataFrame, keys: Sequence[str], text_col: str, k: int) -> Data
     return each.select(*keys, (F.col("__p") + F.col("__i")).cast("long").alias("pos"), F.col("__s").substr(F.col("__i") + 1, F.lit(k)).alias("gram"))
 
 
-def _prefix_lengths(grams: DataFrame, known: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """keys, pos and the longest prefix (k at most) of gram that is a prefix of a known gram."""
-    lengths = grams.select(*keys, "pos", "gram", F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("len")).filter("gram <> ''")
-    heads = known.select("gram").distinct().select(F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("len"), "gram").filter("gram <> ''").select(F.col("gram").substr(F.lit(1), F.col("len")).alias("head")).distinct()
-    hits = lengths.select(*keys, "pos", "len", F.col("gram").substr(F.lit(1), F.col("len")).alias("head")).join(heads, "head", "left_semi")
-    best = hits.groupBy(*keys, "pos").agg(F.max("len").cast("int").alias("ms"))
-    return grams.select(*keys, "pos").join(best, [*keys, "pos"], "left").select(*keys, "pos", F.coalesce("ms", F.lit(0)).alias("ms"))
+def _beside(df: DataFrame, rows: int) -> DataFrame:
+    """df for a join with positions: broadcast if it has at most so few rows, and else merged. The planner's own estimates
+    follow the compressed texts, not the positions that are made of them."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
+def _prefix_lengths(grams: DataFrame, known: DataFrame, keys: Sequence[str], k: int, n_known: int) -> DataFrame:
+    """keys, pos and the longest prefix (k at most) of gram that is a prefix of one of the n_known known grams, by bisection:
+    whether a prefix occurs only falls with its length."""
+    found = grams.select(*keys, "pos", "gram", F.lit(0).alias("ms"))
+    step = 1 << (k.bit_length() - 1)
+    while step:
+        sizes = range(step, k + 1, 2 * step)  # the lengths that are asked for now
+        heads = known.select("gram").distinct().select("gram", F.explode(F.array(*map(F.lit, sizes))).alias("len")).filter(F.length("gram") >= F.col("len"))
+        heads = heads.select(F.col("gram").substr(F.lit(1), F.col("len")).alias("head"), F.lit(step).alias("more")).distinct()
+        longer = F.col("ms") + step
+        asked = found.withColumn("head", F.when(F.length("gram") >= longer, F.col("gram").substr(F.lit(1), longer)))
+        found = asked.join(_beside(heads, n_known * len(sizes)), "head", "left").select(*keys, "pos", "gram", (F.col("ms") + F.coalesce("more", F.lit(0))).alias("ms"))
+        step //= 2
+    return found.select(*keys, "pos", "ms")
 
 
 def ms_prefix(texts: DataFrame, queries: DataFrame, keys: Sequence[str], text_col: str = "text", query_col: str = "text", longest: int = 32) -> DataFrame:
-    """keys, pos, ms by a semi join on all prefixes, doubling their length until no match is cut short."""
+    """keys, pos, ms by joins on prefixes, doubling their length until no match is cut short."""
     texts = texts.select(F.col(text_col).alias("t")).filter("t is not null")
     q = queries.select(*keys, F.col(query_col).alias("t")).filter("t is not null")
+    size = _chars(texts, "t")
     while True:
-        found = _prefix_lengths(positions(q, keys, "t", longest), positions(texts, [], "t", longest), keys, longest)
-        if found.agg(F.max("ms")).first()[0] in (None, *range(longest)):
-            return found
+        grams, known = positions(q, keys, "t", longest), positions(texts, [], "t", longest)
+        full = F.length("gram") == longest
+        if grams.filter(full).select("gram").join(_beside(known.filter(full).select("gram").distinct(), size), "gram", "left_semi").isEmpty():
+            return _prefix_lengths(grams, known, keys, longest, size)
         longest *= 2
 
 
 def ms_seed(texts: DataFrame, queries: DataFrame, keys: Sequence[str], text_col: str = "text", query_col: str = "text", seed: int = 12) -> DataFrame:
-    """keys, pos, ms by seeds: matches shorter than a seed come from prefixes, and longer ones from extending every
-    place where the seed occurs. For collections of any size; nothing is broadcast by hand, and no match is cut short."""
+    """keys, pos, ms by seeds: matches shorter than a seed come from prefixes, and the others from extending every
+    place where the seed occurs. For collections of any size; only what was counted before is broadcast, and no match is cut short."""
     t = texts.select(F.col(text_col).alias("t")).filter("t is not null").distinct().select(F.monotonically_increasing_id().alias("id"), "t")
     q = queries.select(*keys, F.col(query_col).alias("t")).filter("t is not null")
+    size = _chars(texts, text_col)
     grams, known = positions(q, keys, "t", seed), positions(t, ["id"], "t", seed)
-    short = _prefix_lengths(grams, known, keys, seed)
+    short = _prefix_lengths(grams, known, keys, seed, size).filter(F.col("ms") < seed)
     full = F.length("gram") == seed
-    met = grams.filter(full).join(known.filter(full).select("gram", "id", F.col("pos").alias("at")), "gram").select(*keys, "pos", "id", "at")
-    a, b = F.col("q.t"), F.col("x.t")
-    both = met.join(q.alias("q"), list(keys)).join(t.alias("x"), "id")
+    met = grams.filter(full).join(_beside(known.filter(full).select("gram", "id", F.col("pos").alias("at")), size), "gram").select(*keys, "pos", "id", "at")
+    a, b = F.col("__q"), F.col("x.t")
+    whole = q.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("t").alias("__q"))
+    own = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))  # a key may be null
+    both = met.join(whole.hint("merge"), own).join(_beside(t.alias("x"), size), "id")
     room = F.least(F.length(a) - F.col("pos"), F.length(b) - F.col("at"))
     ends = both.select(*keys, "pos", a.substr((F.col("pos") + 1).cast("int"), room.cast("int")).alias("u"), b.substr((F.col("at") + 1).cast("int"), room.cast("int")).alias("v"))
     same = common_prefix("u", "v")
-    long = ends.select(*keys, "pos", same.alias("m")).groupBy(*keys, "pos").agg(F.max("m").cast("int").alias("long"))
-    return short.join(long, [*keys, "pos"], "left").select(*keys, "pos", F.coalesce("long", "ms").alias("ms"))
+    long = ends.select(*keys, "pos", same.alias("m")).groupBy(*keys, "pos").agg(F.max("m").cast("int").alias("ms"))
+    return short.unionByName(long)  # a position with a whole seed has a place where it occurs
 
 
 def common_prefix(u: str, v: str) -> Column:
@@ -334,14 +359,14 @@ def ms_build(texts: DataFrame, queries: DataFrame, keys: Sequence[str] = ("query
         return ms_prefix(texts, queries, keys, text_col, query_col)
     if strategy == "seed":
         return ms_seed(texts, queries, keys, text_col, query_col)
-    vectors = ms_vectors(texts, queries, keys, text_col, query_col)
+    vectors = ms_vectors(texts, queries, keys, text_col, query_col, counted=False)
     return vectors.select(*keys, F.posexplode("ms").alias("pos", "ms")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def ms_arrays(texts: DataFrame, queries: DataFrame, keys: Sequence[str] = ("query_id",), text_col: str = "text", query_col: str = "text") -> DataFrame:
     """keys, ms (array<int>): each query's vector in one row; queries without positions have none."""
     if _chars(texts, text_col) <= AUTOMATON_CHARS:
-        return ms_vectors(texts, queries, keys, text_col, query_col).select(*keys, "ms").filter(F.size("ms") > 0)
+        return ms_vectors(texts, queries, keys, text_col, query_col, counted=False).filter(F.size("ms") > 0)
     rows = ms_seed(texts, queries, keys, text_col, query_col).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "ms"))).alias("x"))
     return rows.select(*keys, F.transform("x", lambda x: x["ms"]).alias("ms"))
 

@@ -21,8 +21,11 @@ from strandlight.llm.common import one_thread
 PLAIN = 0x250
 #: Bytes of the longest word that is merged in step; a longer one goes to the tokenizer.
 LONGEST = 64
-#: Bytes that the ids of known words may take, keys and objects included; then all are forgotten.
-MEMO_BYTES = 24 << 20
+#: Bytes that the ids of known words may take, keys and objects included. At half of it the words so far become old; old
+#: words that are met again stay known, and the others are forgotten at the next time.
+MEMO_BYTES = 32 << 20
+#: Bytes of a known word beside its letters and ids: two objects' heads and their rounding, an entry of the table.
+WORD_BYTES = 144
 #: Code points that are encoded at a time.
 CHUNK = 1 << 18
 _SHIFT = 15  # tables of pairs have 2^(32 - 15) slots
@@ -62,6 +65,7 @@ class WordIds:
             left = np.delete(left, at)
         self._plain_table()
         self.words: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
     @staticmethod
@@ -124,9 +128,12 @@ class WordIds:
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        if self.held > MEMO_BYTES:
-            self.words, self.held = {"": b""}, 0
+        if self.held > MEMO_BYTES // 2:
+            self.old, self.words, self.held = self.words, {"": b""}, 0
         new = set().union(*split).difference(self.words)
+        if again := list(new & self.old.keys()):
+            self._keep(again, [self.old.pop(w) for w in again])
+            new.difference_update(again)
         if new:
             self._learn(list(new))
         for words in split:
@@ -142,33 +149,39 @@ class WordIds:
         rest = np.flatnonzero(~plain).tolist()
         for k in range(0, len(rest), 512):  # the tokenizer's own results are large
             some = [words[i] for i in rest[k : k + 512]]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self._keep(word, np.array(e.ids, "<u4").tobytes())
-        if not plain.any():
+            self._keep(some, [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+        if len(rest) == len(words):
             return
         owner = np.repeat(np.arange(len(words)), lengths)  # the word of each code point
-        solid = ~space
-        keep = plain[owner]
-        ids, own = self._merged(flat[solid][keep], kind[solid][keep], owner[keep])
-        ids = ids.astype("<u4").tobytes()
+        flat, kind = flat[~space], kind[~space]
+        if rest:
+            keep = plain[owner]
+            flat, kind, owner = flat[keep], kind[keep], owner[keep]
+        ids, own = self._merged(flat, kind, owner)
         ends = np.cumsum(np.bincount(own, minlength=len(words))) * 4
-        at = 0
-        for w, z, p in zip(words, ends.tolist(), plain.tolist(), strict=True):
-            if p:
-                self._keep(w, ids[at:z])
-            at = z
+        data, ends = ids.astype("<u4").tobytes(), ends.tolist()
+        found = [data[a:z] for a, z in zip([0, *ends], ends)]
+        if rest:
+            mine = np.flatnonzero(plain).tolist()
+            words, found = [words[i] for i in mine], [found[i] for i in mine]
+        self._keep(words, found)
 
-    def _keep(self, word: str, ids: bytes) -> None:
-        self.words[word] = ids
-        self.held += 200 + len(word) + len(ids)
+    def _keep(self, words: list[str], ids: list[bytes]) -> None:
+        self.words.update(zip(words, ids, strict=True))
+        self.held += WORD_BYTES * len(words) + sum(map(len, words)) + sum(map(len, ids))
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The place of each pair in the file's list; its length for a pair that is not there."""
         k = a.astype(np.uint32) << np.uint32(16) | b.astype(np.uint32)
-        out = np.full(len(k), self.none)
-        for odd, keys, ranks in self.tables:
-            slot = k * odd >> np.uint32(_SHIFT)
-            out = np.minimum(out, np.where(keys[slot] == k, ranks[slot], self.none))
+        odd, keys, ranks = self.tables[0]
+        slot = k * odd >> np.uint32(_SHIFT)
+        out = np.where(keys[slot] == k, ranks[slot], self.none)
+        left = np.flatnonzero(out == self.none)
+        for odd, keys, ranks in self.tables[1:]:
+            some = k[left]
+            slot = some * odd >> np.uint32(_SHIFT)
+            hit = np.flatnonzero(keys[slot] == some)
+            out[left[hit]] = ranks[slot[hit]]
         return out
 
     def _merged(self, points: np.ndarray, kind: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,10 +232,11 @@ class WordIds:
             new = np.cumsum(stay) - 1
             symbol, piece, rank = symbol[stay], piece[stay], rank[stay]
             here = new[run]
-            for at in (here, here[here > 0] - 1):
-                nxt = np.minimum(at + 1, len(symbol) - 1)
-                inner = (nxt > at) & (piece[nxt] == piece[at])
-                rank[at] = np.where(inner, self._ranks(symbol[at], symbol[nxt]), none)
+            at = np.concatenate([here, here[here > 0] - 1])
+            rank[at] = none
+            at = at[at + 1 < len(symbol)]
+            at = at[piece[at + 1] == piece[at]]
+            rank[at] = self._ranks(symbol[at], symbol[at + 1])
         pieces = np.concatenate([p for p, _ in done])
         order = np.argsort(pieces, kind="stable")
         return np.concatenate([s for _, s in done])[order], word_of[pieces[order]]

@@ -45,6 +45,19 @@ def test_long_texts_and_a_full_memo(encode, monkeypatch):
     assert len(encode.words) < 2000
 
 
+def test_words_that_come_again_are_learned_once(monkeypatch):
+    monkeypatch.setattr(word_bpe, "CHUNK", 1000)
+    monkeypatch.setattr(word_bpe, "MEMO_BYTES", 200_000)
+    encode, learned = word_bpe.WordIds(packing.default_tokenizer()), []
+    learn = encode._learn
+    monkeypatch.setattr(encode, "_learn", lambda x: (learned.extend(x), learn(x)))
+    common = ["the", "of", "größe,", "12|"]
+    texts = [" ".join([*common, *(f"w{i}x{k}" for k in range(100))]) for i in range(60)]
+    same(encode, texts)
+    assert [learned.count(x) for x in common] == [1] * len(common)
+    assert len(learned) > 5000 and len(encode.words) + len(encode.old) < 2000
+
+
 def test_two_merges_of_one_token_are_refused(tmp_path):
     file = tmp_path / "t.json"
     file.write_text(Tokenizer.from_file(packing.default_tokenizer()).to_str().replace('"merges":[', '"merges":[["t","h"],', 1))
